@@ -141,10 +141,10 @@ FROM sequences JOIN vocab ON vocab.id = ids[1] GROUP BY ids[1]""",
   CAST(max(len(padded)) AS INTEGER) AS padded FROM sequences""",
     "sequence_batches": _with(
         SEQUENCES,
-        "placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS at, count(*) OVER () AS n FROM sequences)",
+        "placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS spot, count(*) OVER () AS n FROM sequences)",
     )
-    + """SELECT CAST(floor(at / 128) AS BIGINT) AS batch, count(*) AS rows, min(doc_id) AS first_doc, max(doc_id) AS last_doc
-FROM placed WHERE at < n - n % 128 GROUP BY ALL""",
+    + """SELECT CAST(floor(spot / 128) AS BIGINT) AS batch, count(*) AS rows, min(doc_id) AS first_doc, max(doc_id) AS last_doc
+FROM placed WHERE spot < n - n % 128 GROUP BY ALL""",
 }
 
 # Comments ---------------------------------------------------------------------------------
@@ -350,9 +350,9 @@ TEST_LIMIT = round(0.1 * 2**32)
 RANKING = {
     "pair_batches": _with(
         SHOWN,
-        """placed AS (SELECT *, row_number() OVER (ORDER BY order_no, line_no, iid, shop, day, uid, click) - 1 AS at FROM shown)""",
+        """placed AS (SELECT *, row_number() OVER (ORDER BY order_no, line_no, iid, shop, day, uid, click) - 1 AS spot FROM shown)""",
     )
-    + """SELECT CAST(floor(at / 1024) AS BIGINT) AS batch, count(*) AS rows, min(order_no) AS first_order, CAST(sum(iid) AS BIGINT) AS items
+    + """SELECT CAST(floor(spot / 1024) AS BIGINT) AS batch, count(*) AS rows, min(order_no) AS first_order, CAST(sum(iid) AS BIGINT) AS items
 FROM placed GROUP BY ALL""",
     "click_split": _with(SHOWN)
     + """SELECT uid, count(*) FILTER (WHERE click = 1) AS clicked, count(*) FILTER (WHERE click = 0) AS passed FROM shown GROUP BY uid""",
