@@ -15,9 +15,9 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
 
 
-def _bucket(*keys: str, seed: int | str = 7) -> str:
+def _bucket(*keys: str, seed: int | str = 7, start: str = "1") -> str:
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {text})), {start}, 8) AS BIGINT)"
 
 
 # Text -------------------------------------------------------------------------------------
@@ -402,7 +402,7 @@ pairs AS (
   FROM ahead JOIN ranked a ON a.word = x JOIN ranked b ON b.word = y)""",
         f"""draws AS (
   SELECT DISTINCT center, context, CAST(floor(round(exp(
-    ({_bucket('center', 'context', 'i')} + 0.5) / 4294967296 * ln((SELECT count(*) FROM ranked) + 1)), 9)) AS BIGINT) AS word
+    ({_bucket('center', 'context', 'CAST(floor(i / 4) AS BIGINT)', start='i % 4 * 8 + 1')} + 0.5) / 4294967296 * ln((SELECT count(*) FROM ranked) + 1)), 9)) AS BIGINT) AS word
   FROM pairs, range(10) r(i)),
 kept AS (SELECT center, count(*) AS words, sum(word) AS id_sum FROM draws WHERE word <> context GROUP BY center),
 centers AS (SELECT center, count(*) AS pairs FROM pairs GROUP BY center)""",
