@@ -120,6 +120,7 @@ def search_events(spark: SparkSession, folder: str) -> DataFrame:
     lines = read_table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"
     )
+    lines = spread(lines, "l_orderkey", "l_partkey")
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = read_table(spark, folder, "part").select("p_partkey", "p_name")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(parts, lines.l_partkey == parts.p_partkey)
@@ -169,6 +170,16 @@ def daily_stats(spark: SparkSession, folder: str, key: str, name: str) -> DataFr
     )
 
 
+def song_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the songs that have some: ``song, name, album_name, singer_name``."""
+    return read_table(spark, folder, "part").where("p_size <= 40").select(
+        F.col("p_partkey").alias("song"),
+        F.col("p_name").alias("name"),
+        F.col("p_brand").alias("album_name"),
+        F.col("p_type").alias("singer_name"),
+    )
+
+
 def impressions(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as shown items, with the columns that tell rows apart."""
     lines = read_table(spark, folder, "lineitem").select(

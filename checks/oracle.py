@@ -335,6 +335,33 @@ FEATURES = {
     ),
 }
 
+FEATURES["search_training"] = (
+    _with(
+        SEARCH.replace("search_events AS", "all_events AS"),
+        """search_events AS (
+  SELECT *, row_number() OVER (
+      ORDER BY dt DESC, ts, user_id, song, album, playlist, singer, action, keyword, asked) - 1 AS place
+  FROM all_events WHERE dt BETWEEN '19980209' AND '19980215'
+    AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0))""",
+        CATALOG,
+        _found("SELECT DISTINCT keyword FROM search_events"),
+        _labelled(10),
+        _stats("l_partkey", "song_stats"),
+        _stats("l_suppkey", "singer_stats"),
+        """training AS (
+  SELECT l.*, coalesce(n.name, '0') AS name FROM labelled l
+  LEFT JOIN (
+    SELECT 'song' AS kind, p_partkey AS k, p_name AS name FROM part WHERE p_size <= 40
+    UNION ALL SELECT 'singer', s_suppkey, s_name FROM supplier) n ON n.kind = l.type AND n.k = l.candidate
+  WHERE l.type IN ('song', 'singer')),
+figures AS (SELECT 'song' AS kind, * FROM song_stats UNION ALL SELECT 'singer', * FROM singer_stats)""",
+    )
+    + f"""SELECT user_id AS "user", candidate AS entity, action, keyword, t.type, ts AS "timestamp", t.dt,
+  CAST(position AS INTEGER) AS position, hit AS label, place AS "order", name, {LOGGED_OR_ZERO}
+FROM training t LEFT JOIN figures s ON s.kind = t.type AND s.entity = t.candidate AND s.dt = t.dt
+  AND s.dt BETWEEN '19980209' AND '19980215'"""
+)
+
 # Ranking data -----------------------------------------------------------------------------
 
 SHOWN = """shown AS (

@@ -12,13 +12,16 @@ from echolane.functions.text import END_MARK, START_MARK, is_noise, with_marks
 from echolane.operators import comments as K
 from echolane.operators import corpus as C
 from echolane.operators import evaluation as V
-from echolane.operators import factors as A
+from echolane.operators.factors import fit_word2vec
 from echolane.operators import features as E
 from echolane.operators import nextword as N
 from echolane.operators import order as O
 from echolane.operators import sampling as S
 from echolane.operators import searchlog as L
 from echolane.operators import similarity as M
+from echolane.plans import corpus_job as W
+from echolane.plans import ranking_job as R
+from echolane.plans import search_job as J
 from echolane.session import fresh_path, materialise
 from echolane.sources import sinks, text_files
 from echolane.sources.tables import day_scan, read_table, trailing_days
@@ -229,6 +232,29 @@ def label_stats(spark, folder):
     return L.label_stats(I.search_events(spark, folder), I.search_results(spark, folder))
 
 
+def search_training(spark, folder):
+    """A week of searches: collected, numbered, labelled and enriched."""
+    raw = I.search_events(spark, folder).withColumnsRenamed(
+        {"user": "user_id", "type": "search_type", "keyword": "search_keyword"}
+        | {kind: f"{kind}_id" for kind in E.ENTITY_KINDS}
+    )
+    raw = raw.drop("order", "position", "label").withColumn("type", F.lit("search"))
+    people = read_table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"))
+    week = J.collect_week(raw, people, STATS_DAY)
+    labelled = J.label_week(week, I.catalog(spark, folder))
+    names = {
+        "song": I.song_names(spark, folder),
+        "singer": read_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("singer"), F.col("s_name").alias("name")),
+    }
+    stats = {
+        "song": I.daily_stats(spark, folder, "l_partkey", "song"),
+        "singer": I.daily_stats(spark, folder, "l_suppkey", "singer"),
+    }
+    parts = J.enrich_week(labelled, names, stats, STATS_DAY)
+    kinds = [parts[kind].drop("album_name", "singer_name").withColumnRenamed(kind, "entity") for kind in names]
+    return _rounded(kinds[0].unionByName(kinds[1]))
+
+
 def search_types(spark, folder):
     events = I.search_events(spark, folder).select(F.col("type").alias("asked"), X.singular_type(F.col("type")).alias("type"))
     return events.groupBy("asked", "type").agg(F.count(F.lit(1)).alias("events"))
@@ -256,14 +282,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def enriched_songs(spark, folder):
-    names = read_table(spark, folder, "part").where("p_size <= 40").select(
-        F.col("p_partkey").alias("song"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("album_name"),
-        F.col("p_type").alias("singer_name"),
-    )
     stats = I.daily_stats(spark, folder, "l_partkey", "song")
-    return _rounded(E.enrich(_routed_events(spark, folder), "song", names, stats))
+    return _rounded(E.enrich(_routed_events(spark, folder), "song", I.song_names(spark, folder), stats))
 
 
 def enriched_by_kind(spark, folder):
@@ -432,38 +452,34 @@ def cross_entropy(spark, folder):
 
 
 def bpr_factors(spark, folder):
-    train, _ = S.ranking_dataset(I.impressions(spark, folder), I.ROW_KEY, SEED)
-    train = materialise(train.groupBy("label", "iid").agg(F.count(F.lit(1)).alias("n")), "train")
-    rows = S.negatives(train, "label", "iid", ["label", "iid"], SEED)
-    triples = rows.select(F.col("label").alias("left"), F.col("iid").alias("pos"), F.col("negative").alias("neg"), "n")
-    return A.fit_pairwise(triples).metrics()
+    """Loss per epoch of user and item vectors."""
+    return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED).fitted.epoch_metrics()
+
+
+def bpr_evaluation(spark, folder):
+    """Quality of the fitted vectors on the held-out rows."""
+    return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED).evaluate()
+
+
+def bpr_recommendations(spark, folder):
+    return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED, epochs=1).recommend(10)
 
 
 def word_factors(spark, folder):
-    sentences = materialise(C.tokenize(I.page_lines(spark, folder), profile="tags"), "sentences")
-    vocab = C.build_vocab(C.word_freq(sentences), exclude=("'",))
-    pairs = materialise(C.pair_counts(sentences, 4, vocab), "pairs")
-    pairs = pairs.withColumn("item", F.col("context") - 1)
-    rows = S.negatives(pairs, "center", "item", ["center", "item"], SEED, vocab.count())
-    triples = rows.select(
-        F.col("center").alias("left"), F.col("context").alias("pos"), (F.col("negative") + 1).alias("neg"), "n"
-    )
-    return A.fit_pairwise(triples, reg=0.01, epochs=2).metrics()
+    return W.factor_vectors(I.page_lines(spark, folder), epochs=2).figures
 
 
 def skipgram_vectors(spark, folder):
-    sentences = materialise(C.tokenize(I.corpus_lines(spark, folder)), "sentences")
-    vocab = C.build_vocab(C.word_freq(sentences), 2, (END_MARK, START_MARK))
-    pairs = C.pair_counts(sentences.select(with_marks(F.col("tokens")).alias("tokens")), 3, vocab)
-    rows = S.noise_words(pairs, vocab.count(), 10, SEED, ["center", "context"])
-    return A.fit_skipgram(rows, vocab.count(), epochs=2).metrics()
+    """The 8 nearest words of some words of the added lines."""
+    model = W.skipgram_vectors(I.corpus_lines(spark, folder), epochs=2)
+    return model.nearest(["😘", "nice", "love", "very", "it's"])
 
 
 def word2vec_synonyms(spark, folder):
     sentences = C.tokenize(I.page_lines(spark, folder), profile="tags", apostrophes="lone")
     sentences = materialise(sentences.select("tokens"), "sentences")
     common = C.word_freq(sentences).orderBy(F.desc("freq"), F.asc("word")).first()["word"]
-    return A.fit_word2vec(sentences, maxIter=1).findSynonyms(common, 8)
+    return fit_word2vec(sentences, maxIter=1).findSynonyms(common, 8)
 
 
 # Sources and sinks --------------------------------------------------------------------------
@@ -533,13 +549,13 @@ _ALL = [
     encoded_sequences, lm_targets, prime_words, sequence_sizes, sequence_batches, pair_batches,
     active_users, replied_openers, comment_groups, country_comment_counts, routed_comments,
     day_events, trailing_events, collected_events, missing_ids, sequence_ids, keyword_search,
-    label_impressions, label_impressions_strict, label_stats, search_types,
+    label_impressions, label_impressions_strict, label_stats, search_training, search_types,
     daily_log_stats, trailing_stats, enriched_songs, enriched_by_kind,
     click_split, frequent_users, activity_split, label_encode, seen_items, model_sizes, sample_frac,
     train_test_split, ranking_dataset, negatives, noise_words,
     nearest_vectors, recommend_topn, score_pairs, auc, mse, evaluate,
     ngram_model, next_word_top3, generate_sentences, sentence_scores, cross_entropy,
-    bpr_factors, word_factors, skipgram_vectors, word2vec_synonyms,
+    bpr_factors, bpr_evaluation, bpr_recommendations, word_factors, skipgram_vectors, word2vec_synonyms,
     delimited_events, text_events, impression_shards, id_map, corpus_files, saved_vectors, ranked_csv,
 ]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_ids, singular_type
+from ..session import materialise
 from .comments import members
 from .order import top_n, with_index
 
@@ -26,11 +27,16 @@ def collect_events(events: DataFrame, users: DataFrame, kind: str = "search") ->
 
 
 def sequence_id(df: DataFrame, *ties: str, name: str = "order") -> DataFrame:
-    """Number events from 0, newest day first, then by time and the given columns."""
+    """Number events from 0, newest day first, then by time and the given columns.
+
+    The ties have to tell events apart, as far as these are not the same in all columns.
+    """
     return with_index(df, [F.col("dt").desc(), F.col("timestamp"), *map(F.col, ties)], name)
 
 
-def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE) -> DataFrame:
+def keyword_search(
+    queries: DataFrame, catalog: DataFrame, k: int = PAGE, subset_words: int = SUBSET_WORDS
+) -> DataFrame:
     """The ``k`` best catalogue entries of each distinct query: ``keyword, type, rank, id, score``.
 
     ``queries`` has ``keyword, type``; ``catalog`` has ``id, type, name``. An entry scores the
@@ -42,7 +48,7 @@ def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE) -> Dat
     must be among the first ``k`` ids that hold this set, since all of them score at least as
     much. So each word set that occurs in a query is answered once, whatever the number of
     queries, by its first ``k`` ids, and a query merges the lists of its own word sets.
-    Queries of more than ``SUBSET_WORDS`` known words are scored directly instead.
+    Queries of more than ``subset_words`` known words are scored directly instead.
     """
     entries = catalog.select("id", "type", _distinct_words("name").alias("words"))
     postings = entries.select("type", "id", "words", F.explode("words").alias("word"))
@@ -55,10 +61,13 @@ def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE) -> Dat
     known = words.join(weights, ["type", "word"]).groupBy("keyword", "type").agg(
         F.reverse(F.sort_array(F.collect_list(F.struct("weight", "word")))).alias("terms")
     )
-    short = _by_word_sets(known.where(F.size("terms") <= SUBSET_WORDS), postings, k)
-    long = _by_words(known.where(F.size("terms") > SUBSET_WORDS), postings)
+    known = materialise(known, "queries")
+    scored = _by_word_sets(known.where(F.size("terms") <= subset_words), postings, k)
+    long = known.where(F.size("terms") > subset_words)
+    if not long.isEmpty():
+        scored = scored.unionByName(_by_words(long, postings))
     order = [F.round("score", 9).desc(), F.col("id").asc()]
-    found = top_n(short.unionByName(long), ["keyword", "type"], order, k)
+    found = top_n(scored, ["keyword", "type"], order, k)
     return found.select("keyword", "type", "rank", "id", "score")
 
 
