@@ -61,7 +61,8 @@ def drop_first_of(words: Column, marks: list[str]) -> Column:
     """Remove one word: the first occurrence of the first of ``marks`` that is present."""
     spots = [F.nullif(F.array_position(words, mark), F.lit(0)) for mark in marks]
     spot = F.coalesce(*spots, F.lit(0))
-    return F.filter(words, lambda _, i: i != spot - 1)
+    rest = F.concat(F.slice(words, 1, (spot - 1).cast("int")), F.slice(words, (spot + 1).cast("int"), F.size(words)))
+    return F.when(spot > 0, rest).otherwise(words)
 
 
 def with_marks(words: Column) -> Column:

@@ -164,7 +164,9 @@ def label_impressions(events: DataFrame, results: DataFrame, strict: bool = Fals
     result is the event's singer or album, and end at the clicked song only from position 11
     on, or at any position with ``strict``; other kinds end at the clicked entity.
     """
-    rows = _windows(events, results, strict).select("*", F.posexplode("shown").alias("at", "candidate"))
+    # The outer form keeps Spark from repeating the whole expression in a filter on its size.
+    rows = _windows(events, results, strict).select("*", F.posexplode_outer("shown").alias("at", "candidate"))
+    rows = rows.where(F.col("candidate").isNotNull())
     kinds = ["song", "album", "playlist", "singer"]
     replaced = {
         kind: F.when(F.col("type") == kind, F.col("candidate")).otherwise(F.col(kind)) for kind in kinds
