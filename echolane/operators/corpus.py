@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialise
-from .order import with_index
+from .order import top_n, with_index
 
 # A vocabulary lookup broadcasts at most this many words; the rest is joined by shuffle.
-HEAD_WORDS = 100_000
+HEAD_WORDS = 500_000
 
 # Longest sequence, shortest sequence, filler id.
 MAX_LENGTH, MIN_LENGTH, PAD = 21, 3, 0
@@ -144,10 +144,17 @@ def pair_counts(sentences: DataFrame, window: int, vocab: DataFrame, tokens: str
     return mirrored.groupBy("center", "context").agg(F.sum("n").alias("n"))
 
 
-def encode(sentences: DataFrame, key: list[str], vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Ids of the known words of each sentence, in order: ``key…, ids``."""
+def encode(
+    sentences: DataFrame, key: list[str], vocab: DataFrame, first: int | None = None, tokens: str = "tokens"
+) -> DataFrame:
+    """Ids of the known words of each sentence, in order: ``key…, ids``.
+
+    Where only the ``first`` known words are wanted, the others are cut before the shuffle.
+    """
     words = sentences.select(*key, F.posexplode(tokens).alias("pos", "word"))
     known = lookup(words, vocab, "word", "id")
+    if first is not None:
+        known = top_n(known, key, [F.col("pos").asc()], first)
     packed = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("packed"))
     return packed.select(*key, F.col("packed.id").alias("ids"))
 
@@ -180,7 +187,7 @@ def encode_sequences(
     """Sequences of word ids, ended, cut, and padded to the longest one."""
     end_id = vocab.where(F.col("word") == end_mark).first()["id"]
     words = vocab.where(F.col("word") != end_mark)
-    ended = end_sequences(encode(sentences, key, words), end_id, max_length, min_length)
+    ended = end_sequences(encode(sentences, key, words, max_length), end_id, max_length, min_length)
     saved = materialise(ended, "sequences")
     return pad(saved, longest(saved))
 
