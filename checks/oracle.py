@@ -541,7 +541,10 @@ NEXT_WORD = {
     + """SELECT "order", context, next, n, can_end, CAST(rank AS INTEGER) AS rank,
   round(n / sum(n) OVER (PARTITION BY "order", context, can_end), 6) AS p FROM best""",
     "generate_sentences": _with(SEQUENCES, _ngrams(2), TOP3, GENERATE, recursive=True)
-    + "SELECT id, array_to_string(arg_max(ids, step), ' ') AS ids FROM grown GROUP BY id",
+    + """SELECT m.id, array_to_string(any_value(ids), ' ') AS ids, string_agg(word, ' ' ORDER BY pos) AS sentence
+FROM (SELECT id, ids, unnest(ids) AS word_id, unnest(range(len(ids))) AS pos
+      FROM (SELECT id, arg_max(ids, step) AS ids FROM grown GROUP BY id)) m
+JOIN vocab ON vocab.id = m.word_id GROUP BY m.id""",
     "sentence_scores": _with(SEQUENCES, _ngrams(2), SCORES) + "SELECT doc_id, line_no, words, log_prob FROM scores",
     "cross_entropy": _with(
         SEQUENCES,

@@ -412,8 +412,11 @@ def evaluate(spark, folder):
 
 def _model(spark, folder, n=2):
     sequences, vocab = I.sequences(spark, folder)
-    end_id = vocab.where(F.col("word") == END_MARK).first()["id"]
-    return sequences, materialise(N.ngram_model(sequences, n), "model"), end_id
+    return sequences, materialise(N.ngram_model(sequences, n), "model"), vocab
+
+
+def _end_id(vocab):
+    return vocab.where(F.col("word") == END_MARK).first()["id"]
 
 
 def ngram_model(spark, folder):
@@ -422,15 +425,17 @@ def ngram_model(spark, folder):
 
 
 def next_word_top3(spark, folder):
-    _, model, end_id = _model(spark, folder, 3)
-    return N.next_word_topn(model, end_id).withColumn("p", F.round("p", 6))
+    _, model, vocab = _model(spark, folder, 3)
+    return N.next_word_topn(model, _end_id(vocab)).withColumn("p", F.round("p", 6))
 
 
 def generate_sentences(spark, folder):
-    sequences, model, end_id = _model(spark, folder)
+    """A sentence after the first word of every sequence, with the words and their ids."""
+    sequences, model, vocab = _model(spark, folder)
     key = F.col("doc_id") * 1_000_000 + F.col("line_no")
     primes = C.prime_words(sequences.withColumn("id", key), ["id"])
-    return N.generate(primes, model, end_id, seed=SEED).select("id", _text("ids").alias("ids"))
+    made = N.generate(primes, model, _end_id(vocab), seed=SEED)
+    return made.select("id", _text("ids").alias("ids")).join(C.sentence_text(made, ["id"], vocab), "id")
 
 
 def sentence_scores(spark, folder):

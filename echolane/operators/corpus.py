@@ -79,19 +79,29 @@ def build_vocab(
 
 
 def lookup(df: DataFrame, vocab: DataFrame, word: str, name: str, how: str = "inner") -> DataFrame:
-    """Replace the column ``word`` by its id ``name``; unknown words go or become null.
+    """Replace the column ``word`` by its id ``name``; unknown words go or become null."""
+    table = vocab.select(F.col("word").alias(word), F.col("id").alias(name))
+    return _match(df, table, word, name, how).drop(word)
+
+
+def spell(df: DataFrame, vocab: DataFrame, id_column: str, name: str) -> DataFrame:
+    """Replace an id by its word ``name``; ids without a word go."""
+    table = vocab.select(F.col("id").alias(id_column), F.col("word").alias(name))
+    return _match(df, table, id_column, id_column, "inner").drop(id_column)
+
+
+def _match(df: DataFrame, table: DataFrame, on: str, rank: str, how: str) -> DataFrame:
+    """Join rows with their vocabulary entry.
 
     The most frequent words, which could overload single shuffle partitions, are matched by a
     broadcast of fixed size. Only the rare rest of a larger vocabulary is joined by shuffle.
     """
-    ids = vocab.select(F.col("word").alias(word), F.col("id").alias(name))
-    head = ids.where(F.col(name) <= HEAD_WORDS)
-    if vocab.where(F.col("id") > HEAD_WORDS).limit(1).count() == 0:
-        return df.join(F.broadcast(head), word, how).drop(word)
-    tail = ids.where(F.col(name) > HEAD_WORDS)
-    common = df.join(F.broadcast(head), word, "inner")
-    rare = df.join(F.broadcast(head.select(word)), word, "left_anti").join(tail, word, how)
-    return common.unionByName(rare).drop(word)
+    head, tail = table.where(F.col(rank) <= HEAD_WORDS), table.where(F.col(rank) > HEAD_WORDS)
+    if tail.isEmpty():
+        return df.join(F.broadcast(head), on, how)
+    common = df.join(F.broadcast(head), on, "inner")
+    rare = df.join(F.broadcast(head.select(on)), on, "left_anti").join(tail, on, how)
+    return common.unionByName(rare)
 
 
 def forward_pairs(sentences: DataFrame, window: int, tokens: str = "tokens") -> DataFrame:
@@ -151,12 +161,20 @@ def encode(
 
     Where only the ``first`` known words are wanted, the others are cut before the shuffle.
     """
-    words = sentences.select(*key, F.posexplode(tokens).alias("pos", "word"))
-    known = lookup(words, vocab, "word", "id")
+    words = sentences.select(*key, F.posexplode(tokens).alias("__pos", "__word"))
+    known = lookup(words, vocab, "__word", "__id")
     if first is not None:
-        known = top_n(known, key, [F.col("pos").asc()], first)
-    packed = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("packed"))
-    return packed.select(*key, F.col("packed.id").alias("ids"))
+        known = top_n(known, key, [F.col("__pos").asc()], first)
+    packed = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__pos", "__id"))).alias("__packed"))
+    return packed.select(*key, F.col("__packed.__id").alias("ids"))
+
+
+def sentence_text(sequences: DataFrame, key: list[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
+    """The words of each sequence, joined by blanks: ``key…, sentence``."""
+    places = sequences.select(*key, F.posexplode(ids).alias("__pos", "__id"))
+    words = spell(places, vocab, "__id", "__word")
+    packed = words.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__pos", "__word"))).alias("__packed"))
+    return packed.select(*key, F.array_join("__packed.__word", " ").alias("sentence"))
 
 
 def end_sequences(

@@ -61,6 +61,14 @@ def test_lookup_beyond_the_broadcast_head(spark, monkeypatch):
     assert left == inner | {52: None}
 
 
+def test_sentence_text(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, [3, 1, 2, 4]), (1, [1, 0, 77])], "k int, ids array<long>")
+    for head in (500, 2):
+        monkeypatch.setattr(C, "HEAD_WORDS", head)
+        got = {r["k"]: r["sentence"] for r in C.sentence_text(rows, ["k"], vocab(spark)).collect()}
+        assert got == {0: "so nice song !", 1: "nice"}
+
+
 def test_encoded_sequences(spark):
     rows = sentences(spark, ["nice", "song"], ["nice", "zz"], ["so", "nice", "zz", "song"], ["nice"] * 25, ["zz", "zz"])
     got = {r["k"]: r["ids"] for r in C.encode_sequences(rows, ["k"], vocab(spark)).collect()}
