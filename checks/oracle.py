@@ -257,12 +257,12 @@ WHERE dt BETWEEN '20240109' AND '20240115' GROUP BY dt, type""",
     "collected_events": _with(DAY_EVENTS)
     + """SELECT event_id, user_id, song_id, album_id, playlist_id, singer_id, type, dt FROM whole_ids
 WHERE dt BETWEEN '20240109' AND '20240115' AND type = 'click'
-  AND user_id IN (SELECT user_id FROM day_events WHERE user_id < 100)""",
+  AND user_id IN (SELECT user_id FROM day_events WHERE type = 'purchase' AND value >= 100)""",
     "missing_ids": _with(DAY_EVENTS)
     + "SELECT event_id, user_id, song_id, album_id, playlist_id, singer_id FROM whole_ids",
     "sequence_ids": _with(DAY_EVENTS)
     + """SELECT row_number() OVER (ORDER BY dt DESC, ts, user_id, event_id) - 1 AS "order", event_id, dt FROM whole_ids
-WHERE user_id IN (SELECT user_id FROM day_events WHERE user_id < 100)""",
+WHERE user_id IN (SELECT user_id FROM day_events WHERE type = 'purchase' AND value >= 100)""",
     "keyword_search": _with(
         CATALOG,
         _found("""SELECT DISTINCT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_type]) AS keyword FROM part"""),

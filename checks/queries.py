@@ -183,7 +183,8 @@ def trailing_events(spark, folder):
 
 
 def _listed(spark, folder):
-    return I.day_events(spark, folder).where("user_id < 100").select("user_id").distinct()
+    """Users with a large purchase."""
+    return I.day_events(spark, folder).where("type = 'purchase' and value >= 100").select("user_id").distinct()
 
 
 def collected_events(spark, folder):
