@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,23 +30,15 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
+    """The folder all executors share.
 
-    Only a local master, where driver and executors are one process, may fall back to a
-    folder of its own; on a cluster a missing setting is an error.
+    It is what the cluster names in ``spark.checkpoint.dir``; without that setting it lies below
+    the session's warehouse, which executors share as well.
     """
     path = spark.conf.get(_CHECKPOINT_KEY, None)
     if path:
         return path
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors can reach")
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_dir
-
-
-_local_dir: str | None = None
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
