@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import packing, records
-from .common import documents
+from . import packing, records, rules, secrets
+from .common import documents, read_table
 from .tokens import load_vocabulary
 
 
@@ -30,9 +30,20 @@ def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary(), end_id=0)
 
 
+def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(documents(spark, folder))
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return rules.judge(docs, rules.fit(docs, read_table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_spans": secret_spans,
     "op3_token_records": token_records,
     "op4_packed_pieces": packed_pieces,
+    "op9_quality_rules": quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
