@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import packing, records, rules, secrets
+from . import packing, records, rules, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -34,6 +34,10 @@ def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, folder))
 
 
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_copies(documents(spark, folder), shingle=4)
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return rules.judge(docs, rules.fit(docs, read_table(spark, folder, "labels")))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_spans": secret_spans,
     "op3_token_records": token_records,
     "op4_packed_pieces": packed_pieces,
+    "op7_near_copies": near_copies,
     "op9_quality_rules": quality_rules,
 }
 
