@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import packing, records, rules, secrets, simhash
+from . import decontaminate, packing, records, rules, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -30,6 +30,10 @@ def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder), vocabulary(), end_id=0)
 
 
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), read_table(spark, folder, "benchmark"))
+
+
 def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, folder))
 
@@ -44,6 +48,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_leaks": benchmark_leaks,
     "op2_secret_spans": secret_spans,
     "op3_token_records": token_records,
     "op4_packed_pieces": packed_pieces,
