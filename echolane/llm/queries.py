@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import decontaminate, packing, records, rules, secrets, simhash
+from . import ctw, decontaminate, packing, records, rules, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -42,6 +42,10 @@ def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(documents(spark, folder), shingle=4)
 
 
+def context_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(documents(spark, folder))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return rules.judge(docs, rules.fit(docs, read_table(spark, folder, "labels")))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_records": token_records,
     "op4_packed_pieces": packed_pieces,
     "op7_near_copies": near_copies,
+    "op8_context_tree_scores": context_tree_scores,
     "op9_quality_rules": quality_rules,
 }
 
