@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import ctw, decontaminate, packing, records, rules, secrets, simhash
+from . import ctw, decontaminate, packing, preference, records, rules, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -51,6 +51,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, read_table(spark, folder, "labels")))
 
 
+def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.format_pairs(preference.reply_pairs(read_table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": benchmark_leaks,
     "op2_secret_spans": secret_spans,
@@ -59,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_copies": near_copies,
     "op8_context_tree_scores": context_tree_scores,
     "op9_quality_rules": quality_rules,
+    "op10_preference_pairs": preference_pairs,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_preference_pairs": preference.ORACLE_SQL,
+}
