@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import ctw, decontaminate, packing, personal_data, preference, records, rules, secrets, simhash
+from . import ctw, decontaminate, line_chunks, packing, personal_data, preference, records, rules, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -42,6 +42,10 @@ def personal_spans(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find_personal_data(documents(spark, folder))
 
 
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.repeated_passages(documents(spark, folder))
+
+
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(documents(spark, folder), shingle=4)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_records": token_records,
     "op4_packed_pieces": packed_pieces,
     "op5_personal_spans": personal_spans,
+    "op6_repeated_passages": repeated_passages,
     "op7_near_copies": near_copies,
     "op8_context_tree_scores": context_tree_scores,
     "op9_quality_rules": quality_rules,
