@@ -59,11 +59,16 @@ def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
     return rows.where(F.size("__hashes") >= MIN_PIECES).withColumn("__starts", F.concat(_starts(F.col("__hashes")), F.array(F.size("__hashes"))))
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """``__id, __place, at, size, hash`` of chunks of several pieces."""
+def _spans() -> Column:
+    """``at, size`` of chunks of several pieces."""
     ends = F.slice("__starts", F.lit(2), F.size("__starts") - 1)
     spans = F.zip_with(F.slice("__starts", F.lit(1), F.size(ends)), ends, lambda s, e: F.struct(s.alias("at"), (e - s).alias("size")))
-    spans = F.filter(spans, lambda s: s["size"] >= MIN_PIECES)
+    return F.filter(spans, lambda s: s["size"] >= MIN_PIECES)
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """``__id, __place, at, size, hash`` of chunks of several pieces."""
+    spans = _spans()
     hashed = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.xxhash64(F.slice("__hashes", s["at"] + 1, s["size"])).alias("hash")))
     return rows.select(*_KEYS, F.explode(hashed).alias("c")).select(*_KEYS, "c.at", "c.size", "c.hash")
 
@@ -77,11 +82,11 @@ def _repeated(keyed: DataFrame) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """Repeated chunks with their bytes and the pieces of the chunks beside them."""
-    rows = _chunked(keyed.join(spans, _KEYS), "spans").withColumn("c", F.explode("spans"))
+    """Repeated chunks with their bytes and the pieces beside them, up to the far end of the next chunks of several pieces."""
+    rows = _chunked(keyed.join(spans, _KEYS), "spans").withColumn("__spans", _spans()).withColumn("c", F.explode("spans"))
     at, end, size = F.col("c.at"), F.col("c.at") + F.col("c.size"), F.size("__hashes")
-    before = F.array_max(F.filter("__starts", lambda s: s < at))
-    after = F.array_min(F.filter("__starts", lambda s: s > end))
+    before = F.coalesce(F.array_max(F.transform(F.filter("__spans", lambda s: s["at"] < at), lambda s: s["at"])), F.lit(0))
+    after = F.coalesce(F.array_min(F.transform(F.filter("__spans", lambda s: s["at"] >= end), lambda s: s["at"] + s["size"])), size)
     text = F.array_join(F.slice("__pieces", at + 1, F.col("c.size")), "\n")
     return rows.select(
         *_KEYS,
