@@ -204,7 +204,7 @@ def _link_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def links(distinct: DataFrame) -> DataFrame:
     """``a < b``: enough linked pairs of the distinct fingerprints ``bits`` to join all that are linked."""
 
-    def spread(places):
+    def spread(distinct: DataFrame, places):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 bits = batch.column("bits").to_numpy(zero_copy_only=False)
@@ -214,9 +214,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
         return map_batches(distinct.select("bits"), work, "anchor int, bits long")
 
-    at_home = spread(homes)
-    # Most anchors that are visited are nobody's home.
-    guests = spread(visits).join(at_home.select("anchor").hint("shuffle_hash"), "anchor", "left_semi")
+    at_home = spread(distinct, homes)
+    # A few bytes become many rows, so the rows are dealt out first. Most anchors that are visited are nobody's home.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    guests = spread(distinct.repartition(parts, "bits"), visits).join(at_home.select("anchor").hint("shuffle_hash"), "anchor", "left_semi")
     meeting = at_home.withColumn("visitor", F.lit(0)).unionByName(guests.withColumn("visitor", F.lit(1)))
     meeting = meeting.repartition("anchor").sortWithinPartitions("anchor", "visitor", "bits")
     return map_batches(meeting, _link_stream, "a long, b long").distinct()
