@@ -62,7 +62,7 @@ CUES = {
 }
 COUNTER_CUES = r"version|isbn|issn|order|invoice|serial|part no|chapter|section|page"
 GAZETTEER = {
-    "email": r"(?i)\.(com|org|net|edu|gov|io|info|de|fr|es|it|uk|nl|eu)$",
+    "email": r"(?i)(?:\.|dot[\])])\x20?(com|org|net|edu|gov|io|info|de|fr|es|it|uk|nl|eu)$",
     "ip": r"^(?!0\.|127\.|255\.)",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(1[2-9]|[2-9])",
