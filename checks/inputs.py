@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echolane.functions.scalars import day_of
 from echolane.operators import corpus as C
 from echolane.operators import searchlog as L
+from echolane.session import materialise
 from echolane.sources.tables import read_table, spread
 
 # The synthetic texts hold no apostrophe, emoji or noise marker, so each document gets two
@@ -37,6 +38,13 @@ def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
     return C.split_lines(docs.withColumn("text", text), "doc_id", "text")
 
 
+def marked_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``kind, id, line_no, line`` of all documents and, for their markup, of all pages."""
+    docs = corpus_lines(spark, folder).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "line_no", "line")
+    pages = page_lines(spark, folder).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "line_no", "line")
+    return docs.unionByName(pages)
+
+
 def page_lines(spark: SparkSession, folder: str) -> DataFrame:
     pages = spread(read_table(spark, folder, "pages").select("page_id", "html"), "page_id")
     return C.split_lines(pages, "page_id", "html")
@@ -48,12 +56,23 @@ def chat_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Encoded document sentences and their vocabulary."""
-    sentences = C.tokenize(corpus_lines(spark, folder))
-    vocab = C.build_vocab(C.word_freq(sentences), 1, (C.T.END_MARK,))
+    """Encoded, cut and padded document sentences and their vocabulary."""
+    sentences, vocab = _sentences(spark, folder)
     return C.encode_sequences(sentences, ["doc_id", "line_no"], vocab), vocab
 
 
+def whole_sentences(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Encoded document sentences in full length, with the end mark, and their vocabulary."""
+    sentences, vocab = _sentences(spark, folder)
+    return materialise(C.whole_sentences(sentences, ["doc_id", "line_no"], vocab), "sentences"), vocab
+
+
+def _sentences(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Document sentences, cleaned once, and the vocabulary of all of them."""
+    sentences = materialise(C.tokenize(corpus_lines(spark, folder)), "tokens")
+    return sentences, C.build_vocab(C.word_freq(sentences), 1, (C.T.END_MARK,))
+
+
 def users(spark: SparkSession, folder: str) -> DataFrame:
     """People with a country; a negative balance marks a robot id."""
     robot = F.when(F.col("c_acctbal") < 0, F.lit(5 << 48)).otherwise(F.lit(0).cast("long"))
@@ -171,7 +190,7 @@ def daily_stats(spark: SparkSession, folder: str, key: str, name: str) -> DataFr
 
 
 def song_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the songs that have some: ``song, name, album_name, singer_name``."""
+    """Names of songs: ``song, name, album_name, singer_name``. Parts above size 40 have none, to have missing names."""
     return read_table(spark, folder, "part").where("p_size <= 40").select(
         F.col("p_partkey").alias("song"),
         F.col("p_name").alias("name"),

@@ -17,7 +17,7 @@ def _with(*parts: str, recursive: bool = False) -> str:
 
 def _bucket(*keys: str, seed: int | str = 7, start: str = "1") -> str:
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {text})), {start}, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {text})), {start}, 15) AS BIGINT)"
 
 
 # Text -------------------------------------------------------------------------------------
@@ -61,11 +61,15 @@ def _tokens(name: str, lines: str, key: str) -> str:
 
 def _tag_tokens(marks: list[str]) -> str:
     kept = _cut("w", marks) if marks else "w"
-    return f"""lines AS (
+    return f"""{CORPUS},
+page_lines AS (
   SELECT page_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
   FROM (SELECT page_id, string_split(html, chr(10)) AS parts FROM pages)),
-words AS (SELECT page_id, line_no, {_tag_words('line')} AS w FROM lines),
-sentences AS (SELECT page_id, line_no, {kept} AS tokens FROM words WHERE len(w) > 1)"""
+marked AS (
+  SELECT 'document' AS kind, doc_id AS id, line_no, line FROM lines
+  UNION ALL SELECT 'page', page_id, line_no, line FROM page_lines),
+words AS (SELECT kind, id, line_no, {_tag_words('line')} AS w FROM marked),
+sentences AS (SELECT kind, id, line_no, {kept} AS tokens FROM words WHERE len(w) > 1)"""
 
 
 SENTENCES = CORPUS + ",\n" + _tokens("sentences", "lines", "doc_id")
@@ -96,6 +100,16 @@ def _encoded(name: str, sentences: str, key: str) -> str:
 
 SEQUENCES = ",\n".join([SENTENCES, _vocab(1, ["!"]), _encoded("sequences", "sentences", "doc_id")])
 
+
+def _whole(name: str, sentences: str, key: str) -> str:
+    return f"""{name} AS (
+  SELECT {key}, line_no, list_append(list(v.id ORDER BY pos), (SELECT id FROM vocab WHERE word = '!')) AS ids
+  FROM (SELECT {key}, line_no, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM {sentences}) t
+  JOIN ranked v USING (word) GROUP BY ALL)"""
+
+
+WHOLE = ",\n".join([SENTENCES, _vocab(1, ["!"]), _whole("sequences", "sentences", "doc_id")])
+
 TEXT = {
     "vocab_full": _with(SENTENCES, _vocab(2, ["!", "$"])) + "SELECT word, id, freq FROM vocab",
     "vocab_tags": _with(_tag_tokens([]), _vocab(0, [], "word <> ''''")) + "SELECT word, id, freq FROM vocab",
@@ -104,7 +118,7 @@ TEXT = {
     "sentence_tokens": _with(SENTENCES)
     + "SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, array_to_string(tokens, ' ') AS words FROM sentences",
     "tagged_tokens": _with(_tag_tokens(["'"]))
-    + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no, array_to_string(tokens, ' ') AS words FROM sentences",
+    + "SELECT kind, id, CAST(line_no AS INTEGER) AS line_no, array_to_string(tokens, ' ') AS words FROM sentences",
     "word_counts": _with(SENTENCES, _vocab(1, [])) + "SELECT word, freq FROM freq WHERE freq > 1",
     "context_profiles": _with(
         SENTENCES,
@@ -123,7 +137,8 @@ FROM both_ways GROUP BY center""",
     "word_pairs": _with(
         SENTENCES,
         """ahead AS (
-  SELECT doc_id, unnest(tokens[1:-2]) AS x, unnest(tokens[2:]) AS y FROM sentences WHERE len(tokens) > 1),
+  SELECT doc_id, unnest(tokens[1:-(gap + 1)]) AS x, unnest(tokens[gap + 1:]) AS y
+  FROM sentences, range(1, 5) g(gap) WHERE len(tokens) > gap),
 both_ways AS (SELECT doc_id, x AS center, y AS context FROM ahead UNION ALL SELECT doc_id, y, x FROM ahead)""",
     )
     + """SELECT doc_id, count(*) AS pairs, count(*) FILTER (WHERE center = context) AS repeats,
@@ -348,13 +363,18 @@ FEATURES["search_training"] = (
         _labelled(10),
         _stats("l_partkey", "song_stats"),
         _stats("l_suppkey", "singer_stats"),
+        _stats("l_linenumber", "album_stats"),
+        _stats("l_orderkey", "playlist_stats"),
         """training AS (
   SELECT l.*, coalesce(n.name, '0') AS name FROM labelled l
   LEFT JOIN (
     SELECT 'song' AS kind, p_partkey AS k, p_name AS name FROM part WHERE p_size <= 40
-    UNION ALL SELECT 'singer', s_suppkey, s_name FROM supplier) n ON n.kind = l.type AND n.k = l.candidate
-  WHERE l.type IN ('song', 'singer')),
-figures AS (SELECT 'song' AS kind, * FROM song_stats UNION ALL SELECT 'singer', * FROM singer_stats)""",
+    UNION ALL SELECT 'singer', s_suppkey, s_name FROM supplier
+    UNION ALL SELECT 'album', n_nationkey, n_name FROM nation
+    UNION ALL SELECT 'playlist', o_orderkey, o_orderpriority FROM orders) n ON n.kind = l.type AND n.k = l.candidate),
+figures AS (
+  SELECT 'song' AS kind, * FROM song_stats UNION ALL SELECT 'singer', * FROM singer_stats
+  UNION ALL SELECT 'album', * FROM album_stats UNION ALL SELECT 'playlist', * FROM playlist_stats)""",
     )
     + f"""SELECT user_id AS "user", candidate AS entity, action, keyword, t.type, ts AS "timestamp", t.dt,
   CAST(position AS INTEGER) AS position, hit AS label, place AS "order", name, {LOGGED_OR_ZERO}
@@ -371,8 +391,8 @@ SHOWN = """shown AS (
 
 OFTEN = "often AS (SELECT uid, count(*) AS positives FROM shown WHERE click = 1 GROUP BY uid HAVING count(*) > 10)"
 ROW_KEY = ("order_no", "line_no", "iid", "shop", "day")
-NEGATIVE_LIMIT = round(0.015 * 2**32)
-TEST_LIMIT = round(0.1 * 2**32)
+NEGATIVE_LIMIT = round(0.015 * 2**60)
+TEST_LIMIT = round(0.1 * 2**60)
 
 RANKING = {
     "pair_batches": _with(
@@ -422,14 +442,16 @@ firsts AS (
     + "SELECT uid, item, negative, order_no, line_no, iid, shop, day FROM positives JOIN firsts USING (rid)",
     "noise_words": _with(
         SENTENCES,
-        _vocab(2, []),
-        """ahead AS (SELECT unnest(tokens[1:-2]) AS x, unnest(tokens[2:]) AS y FROM sentences WHERE len(tokens) > 1),
+        _vocab(2, ["!", "$"]),
+        """marked AS (SELECT list_concat(['$'], tokens, ['!']) AS w FROM sentences),
+ahead AS (
+  SELECT unnest(w[1:-(gap + 1)]) AS x, unnest(w[gap + 1:]) AS y FROM marked, range(1, 4) g(gap) WHERE len(w) > gap),
 pairs AS (
   SELECT DISTINCT unnest([a.id, b.id]) AS center, unnest([b.id, a.id]) AS context
-  FROM ahead JOIN ranked a ON a.word = x JOIN ranked b ON b.word = y)""",
+  FROM (SELECT DISTINCT x, y FROM ahead) JOIN vocab a ON a.word = x JOIN vocab b ON b.word = y)""",
         f"""draws AS (
   SELECT DISTINCT center, context, CAST(floor(round(exp(
-    ({_bucket('center', 'context', 'CAST(floor(i / 4) AS BIGINT)', start='i % 4 * 8 + 1')} + 0.5) / 4294967296 * ln((SELECT count(*) FROM ranked) + 1)), 9)) AS BIGINT) AS word
+    (CAST({_bucket('center', 'context', 'CAST(floor(i / 2) AS BIGINT)', start='i % 2 * 15 + 1')} AS DOUBLE) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE * ln((SELECT count(*) FROM vocab) + 1)), 9)) AS BIGINT) AS word
   FROM pairs, range(10) r(i)),
 kept AS (SELECT center, count(*) AS words, sum(word) AS id_sum FROM draws WHERE word <> context GROUP BY center),
 centers AS (SELECT center, count(*) AS pairs FROM pairs GROUP BY center)""",
@@ -476,12 +498,22 @@ pairs AS (
     )
     + """SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY round(s, 9) DESC, item) AS INTEGER) AS rank, item,
   round(1 / (1 + exp(-round(s, 9))), 6) AS score FROM pairs QUALIFY rank <= 10""",
+    "recommend_unseen": _with(
+        VECTORS,
+        """seen AS (SELECT DISTINCT l_suppkey AS "user", l_partkey AS item FROM lineitem),
+pairs AS (SELECT a.id AS "user", b.id AS item, list_dot_product(a.vec, b.vec) AS s FROM vectors a, vectors b),
+fresh AS (SELECT * FROM pairs ANTI JOIN seen USING ("user", item))""",
+    )
+    + """SELECT "user", CAST(row_number() OVER (PARTITION BY "user" ORDER BY round(s, 9) DESC, item) AS INTEGER) AS rank, item,
+  round(1 / (1 + exp(-round(s, 9))), 6) AS score FROM fresh QUALIFY rank <= 10""",
     "score_pairs": _with(SCORED) + 'SELECT "user", item, click, score FROM scored',
     "auc": _with(SCORED) + f"SELECT {AUC} AS auc",
     "mse": _with(SCORED) + f"SELECT {MSE} AS mse",
     "evaluate": _with(SCORED) + f"SELECT {AUC} AS auc, {MSE} AS mse",
 }
 
+SIMILARITY["recommend_blocks"] = SIMILARITY["recommend_topn"]
+
 # Next word --------------------------------------------------------------------------------
 
 
@@ -516,12 +548,12 @@ choices AS (
   SELECT context, can_end, list({{'upto': upto, 'next': next}} ORDER BY upto) AS options, max(upto) AS weight
   FROM running GROUP BY context, can_end),
 grown AS (
-  SELECT doc_id * 1000000 + line_no AS id, [ids[1]] AS ids, ids[1] AS last, 0 AS step FROM sequences
+  SELECT doc_id, line_no, [ids[1]] AS ids, ids[1] AS last, 0 AS step FROM sequences
   UNION ALL
-  SELECT id, CASE WHEN picked IS NULL THEN ids ELSE list_append(ids, picked) END,
+  SELECT doc_id, line_no, CASE WHEN picked IS NULL THEN ids ELSE list_append(ids, picked) END,
     CASE WHEN picked <> (SELECT id FROM vocab WHERE word = '!') THEN picked END, step + 1
   FROM (
-    SELECT g.id, g.ids, g.step, list_filter(c.options, lambda o: o.upto > {_bucket('g.id', 'g.step')} % c.weight)[1].next AS picked
+    SELECT g.doc_id, g.line_no, g.ids, g.step, list_filter(c.options, lambda o: o.upto > {_bucket('g.doc_id', 'g.line_no', 'g.step')} % c.weight)[1].next AS picked
     FROM grown g LEFT JOIN choices c ON c.context = g.last AND c.can_end = (g.step >= 4)
     WHERE g.last IS NOT NULL AND g.step < 20))"""
 
@@ -535,23 +567,24 @@ CHATS = """chat_lines AS (
   FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations))"""
 
 NEXT_WORD = {
-    "ngram_model": _with(SEQUENCES, _ngrams(3))
+    "ngram_model": _with(WHOLE, _ngrams(3))
     + 'SELECT "order", context, next, n, total, round(n / total, 6) AS p FROM model',
-    "next_word_top3": _with(SEQUENCES, _ngrams(3), TOP3)
+    "next_word_top3": _with(WHOLE, _ngrams(3), TOP3)
     + """SELECT "order", context, next, n, can_end, CAST(rank AS INTEGER) AS rank,
   round(n / sum(n) OVER (PARTITION BY "order", context, can_end), 6) AS p FROM best""",
-    "generate_sentences": _with(SEQUENCES, _ngrams(2), TOP3, GENERATE, recursive=True)
-    + """SELECT m.id, array_to_string(any_value(ids), ' ') AS ids, string_agg(word, ' ' ORDER BY pos) AS sentence
-FROM (SELECT id, ids, unnest(ids) AS word_id, unnest(range(len(ids))) AS pos
-      FROM (SELECT id, arg_max(ids, step) AS ids FROM grown GROUP BY id)) m
-JOIN vocab ON vocab.id = m.word_id GROUP BY m.id""",
-    "sentence_scores": _with(SEQUENCES, _ngrams(2), SCORES) + "SELECT doc_id, line_no, words, log_prob FROM scores",
+    "generate_sentences": _with(WHOLE, _ngrams(2), TOP3, GENERATE, recursive=True)
+    + """SELECT m.doc_id, CAST(m.line_no AS INTEGER) AS line_no, array_to_string(any_value(ids), ' ') AS ids,
+  string_agg(word, ' ' ORDER BY pos) AS sentence
+FROM (SELECT doc_id, line_no, ids, unnest(ids) AS word_id, unnest(range(len(ids))) AS pos
+      FROM (SELECT doc_id, line_no, arg_max(ids, step) AS ids FROM grown GROUP BY doc_id, line_no)) m
+JOIN vocab ON vocab.id = m.word_id GROUP BY m.doc_id, m.line_no""",
+    "sentence_scores": _with(WHOLE, _ngrams(2), SCORES) + "SELECT doc_id, line_no, words, log_prob FROM scores",
     "cross_entropy": _with(
-        SEQUENCES,
+        WHOLE,
         _ngrams(2),
         CHATS,
         _tokens("chat_sentences", "chat_lines", "conv_id, turn"),
-        _encoded("chats", "chat_sentences", "conv_id, turn"),
+        _whole("chats", "chat_sentences", "conv_id, turn"),
         f"""chat_steps AS {_steps('chats', 2)},
 totals AS (SELECT DISTINCT context, total FROM model),
 entropy AS (
@@ -578,7 +611,7 @@ WHERE floor(abs(c_acctbal) * 2) < 10000""",
     "corpus_files": _with(CORPUS) + "SELECT CAST(len(line) AS INTEGER) AS length, count(*) AS lines FROM lines GROUP BY len(line)",
     "saved_vectors": _with(VECTORS)
     + "SELECT id, 'w' || id AS word, CAST(len(vec) AS INTEGER) AS dims, round(list_sum(vec), 6) AS total FROM vectors",
-    "ranked_csv": _with(SEQUENCES, _ngrams(2), SCORES) + "SELECT doc_id, line_no, log_prob AS prob FROM scores",
+    "ranked_csv": _with(WHOLE, _ngrams(2), SCORES) + "SELECT doc_id, line_no, log_prob AS prob FROM scores",
 }
 
 ORACLE: dict[str, str] = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from echolane.functions.text import END_MARK, START_MARK, is_noise, with_marks
 from echolane.operators import comments as K
 from echolane.operators import corpus as C
 from echolane.operators import evaluation as V
-from echolane.operators.factors import fit_word2vec
 from echolane.operators import features as E
 from echolane.operators import nextword as N
 from echolane.operators import order as O
@@ -47,7 +47,7 @@ def vocab_full(spark, folder):
 
 
 def vocab_tags(spark, folder):
-    freq = C.word_freq(C.tokenize(I.page_lines(spark, folder), profile="tags"))
+    freq = C.word_freq(C.tokenize(I.marked_lines(spark, folder), profile="tags"))
     return C.build_vocab(freq, exclude=("'",))
 
 
@@ -62,8 +62,8 @@ def sentence_tokens(spark, folder):
 
 
 def tagged_tokens(spark, folder):
-    sentences = C.tokenize(I.page_lines(spark, folder), profile="tags", apostrophes="lone")
-    return sentences.select("page_id", "line_no", F.concat_ws(" ", "tokens").alias("words"))
+    sentences = C.tokenize(I.marked_lines(spark, folder), profile="tags", apostrophes="lone")
+    return sentences.select("kind", "id", "line_no", F.concat_ws(" ", "tokens").alias("words"))
 
 
 def word_counts(spark, folder):
@@ -82,9 +82,9 @@ def context_profiles(spark, folder):
 
 
 def word_pairs(spark, folder):
-    """Neighbours at distance one, per document, before any word is looked up."""
+    """Neighbours up to four places away, per document, before any word is looked up."""
     sentences = C.tokenize(I.corpus_lines(spark, folder))
-    pairs = C.context_pairs(sentences, 1)
+    pairs = C.context_pairs(sentences, 4)
     return pairs.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count_if(F.col("center") == F.col("context")).alias("repeats"),
@@ -243,17 +243,12 @@ def search_training(spark, folder):
     people = read_table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"))
     week = J.collect_week(raw, people, STATS_DAY)
     labelled = J.label_week(week, I.catalog(spark, folder))
-    names = {
-        "song": I.song_names(spark, folder),
-        "singer": read_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("singer"), F.col("s_name").alias("name")),
-    }
-    stats = {
-        "song": I.daily_stats(spark, folder, "l_partkey", "song"),
-        "singer": I.daily_stats(spark, folder, "l_suppkey", "singer"),
-    }
+    names = {"song": I.song_names(spark, folder), **_other_names(spark, folder)}
+    keys = {"song": "l_partkey", **ENTITY_KEYS}
+    stats = {kind: I.daily_stats(spark, folder, key, kind) for kind, key in keys.items()}
     parts = J.enrich_week(labelled, names, stats, STATS_DAY)
     kinds = [parts[kind].drop("album_name", "singer_name").withColumnRenamed(kind, "entity") for kind in names]
-    return _rounded(kinds[0].unionByName(kinds[1]))
+    return _rounded(reduce(DataFrame.unionByName, kinds))
 
 
 def search_types(spark, folder):
@@ -287,24 +282,28 @@ def enriched_songs(spark, folder):
     return _rounded(E.enrich(_routed_events(spark, folder), "song", I.song_names(spark, folder), stats))
 
 
+ENTITY_KEYS = {"singer": "l_suppkey", "album": "l_linenumber", "playlist": "l_orderkey"}
+
+
+def _other_names(spark, folder) -> dict[str, DataFrame]:
+    """Names of the entities that are not songs."""
+    supplier, nation, orders = (read_table(spark, folder, name) for name in ("supplier", "nation", "orders"))
+    return {
+        "singer": supplier.select(F.col("s_suppkey").alias("singer"), F.col("s_name").alias("name")),
+        "album": nation.select(F.col("n_nationkey").cast("long").alias("album"), F.col("n_name").alias("name")),
+        "playlist": orders.select(F.col("o_orderkey").alias("playlist"), F.col("o_orderpriority").alias("name")),
+    }
+
+
 def enriched_by_kind(spark, folder):
     """The same for the other entity kinds, each with names and figures of its own."""
-    events = _routed_events(spark, folder)
-    names = {
-        "singer": read_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("singer"), F.col("s_name").alias("name")),
-        "album": read_table(spark, folder, "nation").select(
-            F.col("n_nationkey").cast("long").alias("album"), F.col("n_name").alias("name")
-        ),
-        "playlist": read_table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("playlist"), F.col("o_orderpriority").alias("name")
-        ),
-    }
-    keys = {"singer": "l_suppkey", "album": "l_linenumber", "playlist": "l_orderkey"}
+    # The events' three-table join runs once for all kinds.
+    events = materialise(_routed_events(spark, folder), "events")
     parts = [
-        E.enrich(events, kind, names[kind], I.daily_stats(spark, folder, keys[kind], kind)).withColumnRenamed(kind, "entity")
-        for kind in ("singer", "album", "playlist")
+        E.enrich(events, kind, names, I.daily_stats(spark, folder, ENTITY_KEYS[kind], kind)).withColumnRenamed(kind, "entity")
+        for kind, names in _other_names(spark, folder).items()
     ]
-    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return _rounded(reduce(DataFrame.unionByName, parts))
 
 
 # Ranking data -----------------------------------------------------------------------------
@@ -365,8 +364,8 @@ def negatives(spark, folder):
 def noise_words(spark, folder):
     """Noise of all neighbouring word pairs, per center word."""
     sentences = materialise(C.tokenize(I.corpus_lines(spark, folder)), "sentences")
-    vocab = C.build_vocab(C.word_freq(sentences), 2)
-    pairs = C.pair_counts(sentences, 1, vocab)
+    vocab = C.build_vocab(C.word_freq(sentences), 2, (END_MARK, START_MARK))
+    pairs = C.pair_counts(sentences.select(with_marks(F.col("tokens")).alias("tokens")), 3, vocab)
     rows = S.noise_words(pairs, vocab.count(), 10, SEED, ["center", "context"])
     return rows.groupBy("center").agg(
         F.count(F.lit(1)).alias("pairs"),
@@ -391,6 +390,20 @@ def recommend_topn(spark, folder):
     return M.recommend(known, known, 10).withColumn("score", F.round("score", 6))
 
 
+def recommend_blocks(spark, folder):
+    """The same rows with both sides cut into blocks."""
+    known = I.vectors(spark, folder).select("id", "vec")
+    return M.recommend(known, known, 10, small=100, block=64).withColumn("score", F.round("score", 6))
+
+
+def recommend_unseen(spark, folder):
+    """Best items among those a user has not been shown: order lines name both by vector."""
+    known = I.vectors(spark, folder).select("id", "vec")
+    lines = read_table(spark, folder, "lineitem")
+    seen = lines.select(F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("item"))
+    return M.recommend(known, known, 10, exclude=seen).withColumn("score", F.round("score", 6))
+
+
 def score_pairs(spark, folder):
     return I.scored_pairs(spark, folder)
 
@@ -412,7 +425,7 @@ def evaluate(spark, folder):
 
 
 def _model(spark, folder, n=2):
-    sequences, vocab = I.sequences(spark, folder)
+    sequences, vocab = I.whole_sentences(spark, folder)
     return sequences, materialise(N.ngram_model(sequences, n), "model"), vocab
 
 
@@ -433,10 +446,9 @@ def next_word_top3(spark, folder):
 def generate_sentences(spark, folder):
     """A sentence after the first word of every sequence, with the words and their ids."""
     sequences, model, vocab = _model(spark, folder)
-    key = F.col("doc_id") * 1_000_000 + F.col("line_no")
-    primes = C.prime_words(sequences.withColumn("id", key), ["id"])
-    made = N.generate(primes, model, _end_id(vocab), seed=SEED)
-    return made.select("id", _text("ids").alias("ids")).join(C.sentence_text(made, ["id"], vocab), "id")
+    key = ["doc_id", "line_no"]
+    made = N.generate(C.prime_words(sequences, key), key, model, _end_id(vocab), seed=SEED)
+    return made.select(*key, _text("ids").alias("ids")).join(C.sentence_text(made, key, vocab), key)
 
 
 def sentence_scores(spark, folder):
@@ -447,9 +459,8 @@ def sentence_scores(spark, folder):
 
 def cross_entropy(spark, folder):
     """How well the documents' model foresees the conversations."""
-    sequences, vocab = I.sequences(spark, folder)
-    model = materialise(N.ngram_model(sequences, 2), "model")
-    chats = C.encode_sequences(C.tokenize(I.chat_lines(spark, folder)), ["conv_id", "turn", "line_no"], vocab)
+    sequences, model, vocab = _model(spark, folder)
+    chats = C.whole_sentences(C.tokenize(I.chat_lines(spark, folder)), ["conv_id", "turn", "line_no"], vocab)
     figures = N.cross_entropy(chats, model, vocab.count())
     return figures.select(F.round("cross_entropy", 6).alias("cross_entropy"), F.round("perplexity", 3).alias("perplexity"))
 
@@ -468,26 +479,21 @@ def bpr_evaluation(spark, folder):
 
 
 def bpr_recommendations(spark, folder):
-    return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED, epochs=1).recommend(10)
+    """The 10 best items that each user does not have yet."""
+    return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED).recommend(10)
 
 
 def word_factors(spark, folder):
-    return W.factor_vectors(I.page_lines(spark, folder), epochs=2).figures
+    """The 8 nearest words of some words of the added lines, by the factor model."""
+    return W.factor_vectors(I.corpus_lines(spark, folder)).nearest(["😘", "nice", "love", "very", "it's"])
 
 
 def skipgram_vectors(spark, folder):
     """The 8 nearest words of some words of the added lines."""
-    model = W.skipgram_vectors(I.corpus_lines(spark, folder), epochs=2)
+    model = W.skipgram_vectors(I.corpus_lines(spark, folder))
     return model.nearest(["😘", "nice", "love", "very", "it's"])
 
 
-def word2vec_synonyms(spark, folder):
-    sentences = C.tokenize(I.page_lines(spark, folder), profile="tags", apostrophes="lone")
-    sentences = materialise(sentences.select("tokens"), "sentences")
-    common = C.word_freq(sentences).orderBy(F.desc("freq"), F.asc("word")).first()["word"]
-    return fit_word2vec(sentences, maxIter=1).findSynonyms(common, 8)
-
-
 # Sources and sinks --------------------------------------------------------------------------
 
 
@@ -559,9 +565,9 @@ _ALL = [
     daily_log_stats, trailing_stats, enriched_songs, enriched_by_kind,
     click_split, frequent_users, activity_split, label_encode, seen_items, model_sizes, sample_frac,
     train_test_split, ranking_dataset, negatives, noise_words,
-    nearest_vectors, recommend_topn, score_pairs, auc, mse, evaluate,
+    nearest_vectors, recommend_topn, recommend_blocks, recommend_unseen, score_pairs, auc, mse, evaluate,
     ngram_model, next_word_top3, generate_sentences, sentence_scores, cross_entropy,
-    bpr_factors, bpr_evaluation, bpr_recommendations, word_factors, skipgram_vectors, word2vec_synonyms,
+    bpr_factors, bpr_evaluation, bpr_recommendations, word_factors, skipgram_vectors,
     delimited_events, text_events, impression_shards, id_map, corpus_files, saved_vectors, ranked_csv,
 ]
 

@@ -56,12 +56,12 @@ def text_or_none(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("None"))
 
 
-# A hash holds four draws of eight hex digits, so each is one of 2**32 numbers.
-DRAWS, DRAWS_PER_HASH, DRAW_DIGITS = 1 << 32, 4, 8
+# A hash holds two draws of fifteen hex digits, so each is one of 2**60 numbers.
+DRAWS, DRAWS_PER_HASH, DRAW_DIGITS = 1 << 60, 2, 15
 
 
 def bucket(seed: int, *keys: Column, part: int = 0) -> Column:
-    """A repeatable draw in 0 … 2**32-1 for a key: eight hex digits of an MD5, the first by default."""
+    """A repeatable draw in 0 … 2**60-1 for a key: fifteen hex digits of an MD5, the first by default."""
     text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), part * DRAW_DIGITS + 1, DRAW_DIGITS), 16, 10).cast("long")
 

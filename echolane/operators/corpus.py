@@ -80,27 +80,33 @@ def build_vocab(
 
 def lookup(df: DataFrame, vocab: DataFrame, word: str, name: str, how: str = "inner") -> DataFrame:
     """Replace the column ``word`` by its id ``name``; unknown words go or become null."""
-    table = vocab.select(F.col("word").alias(word), F.col("id").alias(name))
-    return _match(df, table, word, name, how).drop(word)
+    table = vocab.select(F.col("word").alias(word), F.col("id").alias(name), in_head(vocab))
+    return match(df, table, word, how).drop(word)
 
 
 def spell(df: DataFrame, vocab: DataFrame, id_column: str, name: str) -> DataFrame:
     """Replace an id by its word ``name``; ids without a word go."""
-    table = vocab.select(F.col("id").alias(id_column), F.col("word").alias(name))
-    return _match(df, table, id_column, id_column, "inner").drop(id_column)
+    table = vocab.select(F.col("id").alias(id_column), F.col("word").alias(name), in_head(vocab))
+    return match(df, table, id_column, "inner").drop(id_column)
 
 
-def _match(df: DataFrame, table: DataFrame, on: str, rank: str, how: str) -> DataFrame:
-    """Join rows with their vocabulary entry.
+def in_head(vocab: DataFrame) -> Column:
+    """Frequent words by their rank, and the marks, which have no frequency and the last ids."""
+    marks = F.col("freq").isNull() if "freq" in vocab.columns else F.lit(False)
+    return ((F.col("id") <= HEAD_WORDS) | marks).alias("__head")
+
+
+def match(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join rows with the entry of their word in a table with a column ``__head``.
 
     The most frequent words, which could overload single shuffle partitions, are matched by a
     broadcast of fixed size. Only the rare rest of a larger vocabulary is joined by shuffle.
     """
-    head, tail = table.where(F.col(rank) <= HEAD_WORDS), table.where(F.col(rank) > HEAD_WORDS)
+    head, tail = table.where("__head").drop("__head"), table.where("NOT __head").drop("__head")
     if tail.isEmpty():
         return df.join(F.broadcast(head), on, how)
     common = df.join(F.broadcast(head), on, "inner")
-    rare = df.join(F.broadcast(head.select(on)), on, "left_anti").join(tail, on, how)
+    rare = df.join(F.broadcast(head.select(*([on] if isinstance(on, str) else on))), on, "left_anti").join(tail, on, how)
     return common.unionByName(rare)
 
 
@@ -137,21 +143,20 @@ def context_pairs(sentences: DataFrame, window: int, tokens: str = "tokens") ->
 def pair_counts(sentences: DataFrame, window: int, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
     """How often two known words are neighbours: ``center, context, n`` with vocabulary ids.
 
-    Distances count unknown words as well. Word pairs are added up before any word is looked
-    up, and only in one direction; the other direction is mirrored at the end.
+    Distances count unknown words as well. Words become ids before the first shuffle, by the
+    broadcast head of the vocabulary, so pairs with unknown words go early and the others are two
+    numbers, smaller one first, added up once. The other direction is mirrored without a shuffle.
     """
     ahead = forward_pairs(sentences.select(tokens), window, tokens)
-    ahead = ahead.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
     ahead = lookup(lookup(ahead, vocab, "left", "a"), vocab, "right", "b")
-    mirrored = ahead.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("a").alias("center"), F.col("b").alias("context"), "n"),
-                F.struct(F.col("b").alias("center"), F.col("a").alias("context"), "n"),
-            )
-        )
+    counts = ahead.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # A pair of equal words is its own mirror image and counts twice.
+    once = F.array(F.struct(F.col("a").alias("center"), F.col("b").alias("context"), (F.col("n") * 2).alias("n")))
+    both = F.array(
+        F.struct(F.col("a").alias("center"), F.col("b").alias("context"), "n"),
+        F.struct(F.col("b").alias("center"), F.col("a").alias("context"), "n"),
     )
-    return mirrored.groupBy("center", "context").agg(F.sum("n").alias("n"))
+    return counts.select(F.inline(F.when(F.col("a") == F.col("b"), once).otherwise(both)))
 
 
 def encode(
@@ -185,6 +190,15 @@ def end_sequences(
     return encoded.where(F.size("ids") + 1 >= min_length).withColumn("ids", F.slice(whole, 1, max_length))
 
 
+def whole_sentences(
+    sentences: DataFrame, key: list[str], vocab: DataFrame, end_mark: str = T.END_MARK
+) -> DataFrame:
+    """Ids of all known words of each sentence and the end mark, uncut: ``key…, ids``."""
+    end_id = vocab.where(F.col("word") == end_mark).first()["id"]
+    encoded = encode(sentences, key, vocab.where(F.col("word") != end_mark))
+    return encoded.withColumn("ids", F.concat("ids", F.array(F.lit(end_id).cast("long"))))
+
+
 def longest(sequences: DataFrame, ids: str = "ids") -> int:
     return sequences.agg(F.max(F.size(ids))).first()[0] or 0
 

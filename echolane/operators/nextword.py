@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket
 from ..session import materialise
+from .corpus import HEAD_WORDS, match
 from .order import top_n
 
 # Choices per word, words per sentence, steps in which a sentence may not end.
@@ -62,13 +63,18 @@ def next_word_topn(model: DataFrame, end_id: int, n: int = CHOICES) -> DataFrame
 
     ``can_end`` tells the lists that may hold the end mark from those that may not.
     """
-    ends = F.explode(
-        F.when(F.col("next") == end_id, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    # The end mark takes one place at most, so the first n + 1 hold both lists.
+    group = ["order", "context"]
+    rows = top_n(model.select(*group, "next", "n"), group, [F.col("n").desc(), F.col("next").asc()], n + 1, "place")
+    end_at = F.min(F.when(F.col("next") == end_id, F.col("place"))).over(Window.partitionBy(*group))
+    rows = rows.withColumn("end_at", F.coalesce(end_at, F.lit(n + 2)))
+    # Without the end mark, those behind it move up.
+    closed = F.when(F.col("place") < F.col("end_at"), F.col("place")).when(F.col("place") > F.col("end_at"), F.col("place") - 1)
+    lists = F.array(
+        F.struct(F.lit(True).alias("can_end"), F.col("place").alias("rank")), F.struct(F.lit(False).alias("can_end"), closed.alias("rank"))
     )
-    both = model.select("order", "context", "next", "n", ends.alias("can_end"))
-    group = ["order", "context", "can_end"]
-    best = top_n(both, group, [F.col("n").desc(), F.col("next").asc()], n)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*group))
+    best = rows.select(*group, "next", "n", F.inline(lists)).where(F.col("rank") <= n)
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*group, "can_end"))
     return best.withColumn("p", share)
 
 
@@ -79,45 +85,47 @@ def _choice_lists(model: DataFrame, end_id: int, n: int) -> DataFrame:
     group = ["context", "can_end"]
     upto = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     best = best.withColumn("upto", F.sum("n").over(upto))
-    return best.groupBy(*group).agg(
+    lists = best.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.struct("upto", "next"))).alias("choices"), F.sum("n").alias("weight")
     )
+    # Word ids are frequency ranks, so most sentences stand at a word of the head.
+    return lists.withColumn("__head", F.col("context") <= HEAD_WORDS)
 
 
 def generate(
-    primes: DataFrame, model: DataFrame, end_id: int, steps: int = STEPS, seed: int = 7, n: int = CHOICES
+    primes: DataFrame, key: list[str], model: DataFrame, end_id: int, steps: int = STEPS, seed: int = 7, n: int = CHOICES
 ) -> DataFrame:
-    """Sentences of up to ``steps`` words after a first word: ``id, ids``.
+    """Sentences of up to ``steps`` words after a first word: ``key…, ids``.
 
-    ``primes`` has ``id, prime``. Each step draws one of the ``n`` likeliest next words by its
+    ``primes`` has ``key…, prime``. Each step draws one of the ``n`` likeliest next words by its
     count, never the last word again, and no end mark in the first steps. A sentence ends
     with the end mark or where no choice is left. All sentences advance together.
     """
     choices = materialise(_choice_lists(model, end_id, n), "choices")
-    running = primes.select("id", F.array("prime").alias("ids"), F.col("prime").alias("last"))
+    running = primes.select(*key, F.array("prime").alias("ids"), F.col("prime").alias("last"))
     finished: list[DataFrame] = []
     for step in range(steps):
-        running = _advance(running, choices, end_id, seed, step)
+        running = _advance(running, key, choices, end_id, seed, step)
         if (step + 1) % STEPS_PER_STAGE == 0 or step + 1 == steps:
             saved = materialise(running, "sentences")
-            finished.append(saved.where("last is null").select("id", "ids"))
+            finished.append(saved.where("last is null").select(*key, "ids"))
             running = saved.where("last is not null")
-    finished.append(running.select("id", "ids"))
+    finished.append(running.select(*key, "ids"))
     return reduce(DataFrame.unionByName, finished)
 
 
-def _advance(running: DataFrame, choices: DataFrame, end_id: int, seed: int, step: int) -> DataFrame:
+def _advance(running: DataFrame, key: list[str], choices: DataFrame, end_id: int, seed: int, step: int) -> DataFrame:
     """One more word for every sentence that has not ended (``last`` is its last word, or null)."""
-    lists = choices.where(F.col("can_end") == F.lit(step >= OPEN_STEPS)).select("context", "choices", "weight")
+    lists = choices.where(F.col("can_end") == F.lit(step >= OPEN_STEPS)).select("context", "choices", "weight", "__head")
     # An ended sentence gets a key of its own that matches nothing, so that they do not pile up.
-    keyed = running.withColumn("context", F.coalesce("last", -1 - F.col("id")))
-    met = keyed.join(lists, "context", "left")
-    draw = F.pmod(bucket(seed, F.col("id"), F.lit(step)), F.col("weight"))
+    keyed = running.withColumn("context", F.coalesce("last", -1 - F.abs(F.xxhash64(*key))))
+    met = match(keyed, lists, "context", "left")
+    draw = F.pmod(bucket(seed, *map(F.col, key), F.lit(step)), F.col("weight"))
     picked = F.get(F.filter("choices", lambda c: c["upto"] > draw), F.lit(0))["next"]
-    met = met.select("id", "ids", picked.alias("picked"))
+    met = met.select(*key, "ids", picked.alias("picked"))
     grown = F.when(F.col("picked").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array("picked")))
     last = F.when(F.col("picked") != end_id, F.col("picked"))
-    return met.select("id", grown.alias("ids"), last.alias("last"))
+    return met.select(*key, grown.alias("ids"), last.alias("last"))
 
 
 def _log_share(smooth: bool, words: int) -> Column:
@@ -128,8 +136,12 @@ def _log_share(smooth: bool, words: int) -> Column:
 
 def score_sentences(sequences: DataFrame, key: list[str], model: DataFrame, ids: str = "ids") -> DataFrame:
     """Log probability of each sentence after its first word: ``key…, words, log_prob``."""
-    steps = transitions(sequences.select(*key, ids), 2, ids)
-    known = steps.join(model.where("order = 1").select("order", "context", "next", "n", "total"), ["order", "context", "next"], "left")
+    steps = transitions(sequences.select(*key, ids), 2, ids).select(*key, "context", "next")
+    pairs = model.where("order = 1").select("context", "next", "n", "total")
+    # A step between two words of the head is looked up where it stands; frequent steps are among these.
+    busy = pairs.orderBy(F.col("n").desc(), "context", "next").limit(HEAD_WORDS).withColumn("__head", F.lit(True))
+    rest = pairs.join(F.broadcast(busy.select("context", "next")), ["context", "next"], "left_anti").withColumn("__head", F.lit(False))
+    known = match(steps, materialise(busy.unionByName(rest), "steps"), ["context", "next"], "left")
     return known.groupBy(*key).agg(
         F.count(F.lit(1)).alias("words"), F.sum(_log_share(False, 0)).alias("log_prob")
     )

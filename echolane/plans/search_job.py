@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import features as E
 from ..operators import searchlog as L
+from ..session import materialise
 from ..sources.tables import trailing_days
 
 WEEK = 7
@@ -32,7 +33,11 @@ def label_week(collected: DataFrame, catalog: DataFrame) -> DataFrame:
 def enrich_week(
     labelled: DataFrame, names: dict[str, DataFrame], stats: dict[str, DataFrame], day: str, days: int = WEEK
 ) -> dict[str, DataFrame]:
-    """Per entity kind: training rows with names and the figures of the last days."""
+    """Per entity kind: training rows with names and the figures of the last days.
+
+    The labelled rows are written once; each kind then reads its own.
+    """
+    labelled = materialise(labelled, "labelled")
     return {
         kind: E.enrich(labelled, kind, names[kind], trailing_days(stats[kind], day, days))
         for kind in E.ENTITY_KINDS

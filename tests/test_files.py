@@ -71,7 +71,6 @@ def test_the_shared_folder_is_the_one_the_session_names(spark):
             self.conf = Conf(conf)
 
     assert session.work_dir(Other(**{"spark.checkpoint.dir": "hdfs://x/y"})) == "hdfs://x/y"
-    with pytest.raises(RuntimeError):
-        session.work_dir(Other(**{"spark.master": "yarn"}))
+    assert session.work_dir(Other(**{"spark.sql.warehouse.dir": "hdfs://x/warehouse/"})) == "hdfs://x/warehouse/_work"
     rows = session.materialise(spark.range(5))
     assert rows.count() == 5

@@ -50,21 +50,21 @@ def test_top_words(spark):
 def test_generated_sentences(spark):
     model = N.ngram_model(sequences(spark), 2)
     primes = spark.range(200).select("id", (F.col("id") % 8 + 1).alias("prime"))
-    got = {r["id"]: r["ids"] for r in N.generate(primes, model, END, seed=3).collect()}
+    got = {r["id"]: r["ids"] for r in N.generate(primes, ["id"], model, END, seed=3).collect()}
     assert sorted(got) == list(range(200))
     steps = counted(1)
     for key, ids in got.items():
         assert ids[0] == key % 8 + 1 and len(ids) <= 21
         assert all(steps[str(a), b] > 0 and a != b for a, b in zip(ids, ids[1:]))
         assert END not in ids[:-1] and END not in ids[1:5]
-    again = {r["id"]: r["ids"] for r in N.generate(primes.repartition(3), model, END, seed=3).collect()}
+    again = {r["id"]: r["ids"] for r in N.generate(primes.repartition(3), ["id"], model, END, seed=3).collect()}
     assert again == got
-    assert got != {r["id"]: r["ids"] for r in N.generate(primes, model, END, seed=4).collect()}
+    assert got != {r["id"]: r["ids"] for r in N.generate(primes, ["id"], model, END, seed=4).collect()}
 
 
 def test_endless_words_stop_after_twenty_steps(spark):
     model = N.ngram_model(sequences(spark, [[1, 2, 1, 2, 1]]), 2)
-    got = N.generate(spark.createDataFrame([(0, 1), (1, 7)], "id long, prime long"), model, END).collect()
+    got = N.generate(spark.createDataFrame([(0, 1), (1, 7)], "id long, prime long"), ["id"], model, END).collect()
     assert {r["id"]: len(r["ids"]) for r in got} == {0: 21, 1: 1}
 
 
