@@ -23,8 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Where pieces end: after a line break, and after a mark and a space.
+from .common import materialise
+
+# Where pieces end: after a line break, and after a mark and a space. A sign that texts hardly ever
+# hold marks these places; a text that holds it is cut by the pattern instead.
+ENDS = ["\n", ". ", "! ", "? ", ", ", "; ", ": "]
 PIECE_END = r"(?<=\n)|(?<=[.!?,;:]\x20)"
+SIGN = "\x01"
 
 # One boundary in ``SPREAD`` places; least pieces and characters of a chunk that may go.
 SPREAD, MIN_PIECES, MIN_CHARS = 2, 2, 40
@@ -40,7 +45,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def pieces(text: Column) -> Column:
     """Put together, they are the text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), PIECE_END, -1), lambda p: p != "")
+    text = F.coalesce(text, F.lit(""))
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + SIGN))
+    cut = F.when(F.contains(text, F.lit(SIGN)), F.split(text, PIECE_END, -1)).otherwise(F.split(marked, SIGN, -1))
+    return F.filter(cut, lambda p: p != "")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once, however often it is used: nothing is merged across a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def _starts(hashes: Column) -> Column:
@@ -54,9 +69,9 @@ def _starts(hashes: Column) -> Column:
 def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
     """Adds ``__pieces`` trimmed, ``__hashes``, and ``__starts`` with the number of pieces at the end."""
     trimmed = F.transform(pieces(F.col("text")), lambda p: F.rtrim(p, F.lit(" \n")))
-    rows = keyed.select(*_KEYS, *more, trimmed.alias("__pieces"))
-    rows = rows.withColumn("__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
-    return rows.where(F.size("__hashes") >= MIN_PIECES).withColumn("__starts", F.concat(_starts(F.col("__hashes")), F.array(F.size("__hashes"))))
+    rows = _once(keyed, "__pieces", trimmed).select(*_KEYS, *more, "__pieces")
+    rows = _once(rows, "__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
+    return _once(rows, "__starts", F.concat(_starts(F.col("__hashes")), F.array(F.size("__hashes"))))
 
 
 def _spans() -> Column:
@@ -75,28 +90,28 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
 def _repeated(keyed: DataFrame) -> DataFrame:
     """``__id, __place, spans``: the chunks of each document whose hash occurs more than once."""
-    chunks = _chunks(_chunked(keyed))
+    chunks = materialise(_chunks(_chunked(keyed)), "chunks")
     often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    spans = chunks.join(often, "hash", "left_semi").groupBy(*_KEYS).agg(F.collect_set(F.struct("at", "size", "hash")).alias("spans"))
-    return spans
+    return chunks.join(often, "hash", "left_semi").groupBy(*_KEYS).agg(F.collect_set(F.struct("at", "size", "hash")).alias("spans"))
 
 
 def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """Repeated chunks with their bytes and the pieces beside them, up to the far end of the next chunks of several pieces."""
-    rows = _chunked(keyed.join(spans, _KEYS), "spans").withColumn("__spans", _spans()).withColumn("c", F.explode("spans"))
+    """Repeated chunks with their bytes and the hashes of the pieces beside them, up to the far end of the next chunks of several pieces."""
+    rows = _once(_chunked(keyed.join(spans, _KEYS), "doc_id", "spans"), "__spans", _spans()).withColumn("c", F.explode("spans"))
     at, end, size = F.col("c.at"), F.col("c.at") + F.col("c.size"), F.size("__hashes")
     before = F.coalesce(F.array_max(F.transform(F.filter("__spans", lambda s: s["at"] < at), lambda s: s["at"])), F.lit(0))
     after = F.coalesce(F.array_min(F.transform(F.filter("__spans", lambda s: s["at"] >= end), lambda s: s["at"] + s["size"])), size)
-    text = F.array_join(F.slice("__pieces", at + 1, F.col("c.size")), "\n")
-    return rows.select(
+    rows = rows.select(
         *_KEYS,
+        F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "__place", at.alias("at")).alias("order"),
         at.alias("at"),
         F.col("c.size").alias("size"),
         F.col("c.hash").alias("hash"),
-        text.alias("bytes"),
-        F.when(at > 0, F.reverse(F.slice("__pieces", before + 1, at - before))).otherwise(F.array().cast("array<string>")).alias("before"),
-        F.when(end < size, F.slice("__pieces", end + 1, after - end)).otherwise(F.array().cast("array<string>")).alias("after"),
-    ).where(F.length("bytes") >= MIN_CHARS)
+        F.array_join(F.slice("__pieces", at + 1, F.col("c.size")), "\n").alias("bytes"),
+        F.reverse(F.slice("__hashes", before + 1, at - before)).alias("before"),
+        F.slice("__hashes", end + 1, after - end).alias("after"),
+    )
+    return rows.where(F.length("bytes") >= MIN_CHARS)
 
 
 def _same_from_start(left: str, right: str) -> Column:
@@ -111,9 +126,8 @@ def removed_pieces(docs: DataFrame) -> DataFrame:
 
 def _gone(keyed: DataFrame) -> DataFrame:
     rows = _candidates(keyed, _repeated(keyed))
-    order = F.struct("__id", "__place", "at")
-    first = rows.groupBy("hash", "bytes").agg(F.min(order).alias("first"), F.min_by(F.struct("before", "after"), order).alias("beside"))
-    copies = rows.join(first, ["hash", "bytes"]).where((F.col("__id") != F.col("first.__id")) | (F.col("__place") != F.col("first.__place")) | (F.col("at") != F.col("first.at")))
+    first = rows.groupBy("hash", "bytes").agg(F.min("order").alias("first"), F.min_by(F.struct("before", "after"), "order").alias("beside"))
+    copies = rows.join(first, ["hash", "bytes"]).where(F.col("order") != F.col("first"))
     copies = copies.withColumns({"first_before": F.col("beside.before"), "first_after": F.col("beside.after")})
     begin = F.col("at") - _same_from_start("before", "first_before")
     end = F.col("at") + F.col("size") + _same_from_start("after", "first_after")
@@ -126,7 +140,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     rows = keyed.join(_gone(keyed), _KEYS, "left")
     every = F.sequence(F.lit(0), F.size("__all") - 1)
     kept = F.array_join(F.transform(F.array_except(every, "__gone"), lambda i: F.get("__all", i)), "")
-    rows = rows.withColumn("__all", F.when(F.col("__gone").isNotNull(), pieces(F.col("text"))))
+    rows = _once(rows, "__all", F.when(F.col("__gone").isNotNull(), pieces(F.col("text"))))
     return rows.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
 
 
