@@ -433,11 +433,12 @@ labels AS (SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS label FROM (SELEC
         """positives AS (SELECT *, iid - 1 AS item, row_number() OVER () AS rid FROM shown WHERE click = 1)""",
         "seen AS (SELECT DISTINCT uid, item FROM positives)",
         f"""draws AS (
-  SELECT rid, uid, attempt, {_bucket(*ROW_KEY, 'attempt')} % (SELECT max(item) + 1 FROM positives) AS negative
-  FROM positives, range(12) r(attempt)),
-firsts AS (
-  SELECT rid, arg_min(negative, attempt) AS negative FROM draws
-  WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.uid = draws.uid AND seen.item = draws.negative) GROUP BY rid)""",
+  SELECT p.*, 0 AS attempt, {_bucket(*ROW_KEY, '0')} % (SELECT max(item) + 1 FROM positives) AS negative FROM positives p
+  UNION ALL
+  SELECT d.* EXCLUDE (attempt, negative), attempt + 1, {_bucket(*ROW_KEY, 'attempt + 1')} % (SELECT max(item) + 1 FROM positives)
+  FROM draws d JOIN seen ON seen.uid = d.uid AND seen.item = d.negative),
+firsts AS (SELECT rid, arg_max(negative, attempt) AS negative FROM draws GROUP BY rid)""",
+        recursive=True,
     )
     + "SELECT uid, item, negative, order_no, line_no, iid, shop, day FROM positives JOIN firsts USING (rid)",
     "noise_words": _with(
