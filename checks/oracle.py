@@ -596,6 +596,72 @@ entropy AS (
     + "SELECT round(h, 6) AS cross_entropy, round(exp(h), 3) AS perplexity FROM entropy",
 }
 
+# Fitted vectors ---------------------------------------------------------------------------
+
+
+def _start(scale: float) -> str:
+    draw = _bucket("id", "place", seed="' || (7 + side) || '")
+    return f"(CAST({draw} AS DOUBLE) / 1152921504606846976::DOUBLE * 2 - 1) * {scale!r}"
+
+
+# The first step of the Adam rule.
+ADAM = """moved AS (
+  SELECT side, id, place, v - CASE WHEN g IS NULL THEN 0 ELSE 0.01::DOUBLE * sqrt(0.001::DOUBLE) * g / (sqrt(0.001::DOUBLE) * abs(g) + 1e-8) END AS value
+  FROM vecs LEFT JOIN (SELECT side, id, place, sum(g) AS g FROM grads GROUP BY ALL) USING (side, id, place))"""
+
+MOVED = """SELECT CAST(side AS INTEGER) AS side, id, CAST(place AS INTEGER) AS place, round(value, 6) AS value, loss, mean_diff FROM moved, figures"""
+
+FITTED = {
+    "pairwise_step": _with(
+        """triples AS (
+  SELECT CAST(l_linenumber AS BIGINT) AS u, l_suppkey % 50 AS p, 50 + CAST(l_quantity AS BIGINT) % 50 AS q, CAST(count(*) AS DOUBLE) AS n
+  FROM lineitem GROUP BY ALL)""",
+        "ids AS (SELECT 0 AS side, u AS id FROM triples UNION SELECT 1, p FROM triples UNION SELECT 1, q FROM triples)",
+        f"vecs AS (SELECT side, id, place, {_start((3.0 / 4) ** 0.5)} AS v FROM ids, range(4) r(place))",
+        """diffs AS (
+  SELECT u, p, q, n, sum(a.v * (b.v - c.v)) AS diff FROM triples
+  JOIN vecs a ON a.side = 0 AND a.id = u JOIN vecs b ON b.side = 1 AND b.id = p AND b.place = a.place
+  JOIN vecs c ON c.side = 1 AND c.id = q AND c.place = a.place GROUP BY ALL)""",
+        "slopes AS (SELECT *, 1 / (1 + exp(-diff)) AS chance, -chance * (1 - chance) * n AS s FROM diffs)",
+        """grads AS (
+  SELECT 0 AS side, u AS id, b.place, s * (b.v - c.v) AS g FROM slopes
+  JOIN vecs b ON b.side = 1 AND b.id = p JOIN vecs c ON c.side = 1 AND c.id = q AND c.place = b.place
+  UNION ALL SELECT 1, p, place, s * v FROM slopes JOIN vecs ON side = 0 AND id = u
+  UNION ALL SELECT 1, q, place, -s * v FROM slopes JOIN vecs ON side = 0 AND id = u)""",
+        ADAM,
+        "figures AS (SELECT round(sum(-chance * n), 6) AS loss, round(sum(diff * n) / sum(n), 6) AS mean_diff FROM slopes)",
+    )
+    + MOVED,
+    "noise_step": _with(
+        "pairs AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS u, 1 + l_suppkey % 50 AS c FROM lineitem)",
+        "ids AS (SELECT side, id FROM range(2) s(side), range(1, 61) i(id))",
+        f"""vecs AS (
+  SELECT side, id, place, CASE WHEN side = 0 THEN {_start(1.0)} WHEN place < 4 THEN {_start(0.5)} ELSE 0 END AS v
+  FROM ids, range(5) r(place) WHERE side = 1 OR place < 4)""",
+        f"""noise AS (
+  SELECT i, CAST(floor(round(exp((CAST({_bucket('0', '0', '0', 'i')} AS DOUBLE) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE * ln(61)), 9)) AS BIGINT) AS id
+  FROM range(10) r(i))""",
+        """asked AS (
+  SELECT u, c, -1 AS i, c AS id, -1 AS sign FROM pairs UNION ALL SELECT u, c, i, id, 1 FROM pairs, noise),
+products AS (
+  SELECT u, c, i, asked.id, sign, sum(a.v * b.v) AS product FROM asked
+  JOIN vecs a ON a.side = 0 AND a.id = u JOIN vecs b ON b.side = 1 AND b.id = asked.id AND b.place = a.place
+  GROUP BY u, c, i, asked.id, sign),
+scores AS (SELECT *, product - ln(10 * ln(1 + 1 / CAST(id AS DOUBLE)) / ln(61)) AS score FROM products),
+slopes AS (
+  SELECT *, (1 / (1 + exp(-score)) - CASE WHEN sign < 0 THEN 1 ELSE 0 END) / (SELECT count(*) FROM pairs) AS s FROM scores)""",
+        """grads AS (
+  SELECT 0 AS side, u AS id, place, s * v AS g FROM slopes JOIN vecs w ON w.side = 1 AND w.id = slopes.id AND place < 4
+  UNION ALL SELECT 1, slopes.id, place, s * v FROM slopes JOIN vecs w ON w.side = 0 AND w.id = u
+  UNION ALL SELECT 1, id, 4, s FROM slopes)""",
+        ADAM,
+        """figures AS (
+  SELECT round(sum(ln(1 + exp(sign * score))) / (SELECT count(*) FROM pairs), 6) AS loss,
+    round(sum(CASE WHEN sign < 0 THEN score ELSE -score / 10 END) / (SELECT count(*) FROM pairs), 6) AS mean_diff FROM slopes)""",
+    )
+    + MOVED,
+}
+
 # Sources and sinks --------------------------------------------------------------------------
 
 FILES = {
@@ -616,5 +682,5 @@ WHERE floor(abs(c_acctbal) * 2) < 10000""",
 }
 
 ORACLE: dict[str, str] = {
-    **TEXT, **COMMENTS, **SEARCH_LOG, **FEATURES, **RANKING, **SIMILARITY, **NEXT_WORD, **FILES,
+    **TEXT, **COMMENTS, **SEARCH_LOG, **FEATURES, **RANKING, **SIMILARITY, **NEXT_WORD, **FITTED, **FILES,
 }

@@ -13,6 +13,7 @@ from echolane.functions.text import END_MARK, START_MARK, is_noise, with_marks
 from echolane.operators import comments as K
 from echolane.operators import corpus as C
 from echolane.operators import evaluation as V
+from echolane.operators import factors as A
 from echolane.operators import features as E
 from echolane.operators import nextword as N
 from echolane.operators import order as O
@@ -468,6 +469,29 @@ def cross_entropy(spark, folder):
 # Fitted vectors ---------------------------------------------------------------------------
 
 
+def _moved(fitted):
+    """Every place of every vector, with the loss and the mean difference of the only step."""
+    places = fitted.vectors.select("side", "id", F.posexplode("vec").alias("place", "value"))
+    rows = places.select("side", "id", "place", F.round("value", 6).alias("value"))
+    _, _, loss, mean_diff = fitted.history[0]
+    return rows.select("*", F.lit(round(loss, 6)).alias("loss"), F.lit(round(mean_diff, 6)).alias("mean_diff"))
+
+
+def pairwise_step(spark, folder):
+    """One step over all order lines at once: line numbers prefer suppliers to quantities."""
+    lines = read_table(spark, folder, "lineitem")
+    names = [F.col("l_linenumber").alias("left"), (F.col("l_suppkey") % 50).alias("pos"), (50 + F.col("l_quantity").cast("long") % 50).alias("neg")]
+    rows = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    return _moved(A.fit_pairwise(rows, dim=4, reg=0.0, epochs=1, batch_rows=1 << 30, seed=SEED))
+
+
+def noise_step(spark, folder):
+    """One step over all pairs of line number and supplier, against ten words drawn for it."""
+    lines = read_table(spark, folder, "lineitem")
+    pairs = lines.select(F.col("l_linenumber").alias("center"), (1 + F.col("l_suppkey") % 50).alias("context")).distinct()
+    return _moved(A.fit_skipgram(pairs, 60, dim=4, lr=0.01, epochs=1, batch_rows=1 << 30, seed=SEED))
+
+
 def bpr_factors(spark, folder):
     """Loss per epoch of user and item vectors."""
     return R.fit_ranking(I.impressions(spark, folder), I.ROW_KEY, SEED).fitted.epoch_metrics()
@@ -567,7 +591,7 @@ _ALL = [
     train_test_split, ranking_dataset, negatives, noise_words,
     nearest_vectors, recommend_topn, recommend_blocks, recommend_unseen, score_pairs, auc, mse, evaluate,
     ngram_model, next_word_top3, generate_sentences, sentence_scores, cross_entropy,
-    bpr_factors, bpr_evaluation, bpr_recommendations, word_factors, skipgram_vectors,
+    pairwise_step, noise_step, bpr_factors, bpr_evaluation, bpr_recommendations, word_factors, skipgram_vectors,
     delimited_events, text_events, impression_shards, id_map, corpus_files, saved_vectors, ranked_csv,
 ]
 
