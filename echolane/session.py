@@ -55,4 +55,16 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._folder = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_folder", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -92,3 +92,14 @@ def test_cross_entropy(spark):
     got = N.cross_entropy(sequences(spark, held), model, 9).first()
     assert got["cross_entropy"] == pytest.approx(sum(terms) / len(terms))
     assert got["perplexity"] == pytest.approx(math.exp(sum(terms) / len(terms)))
+
+
+def test_the_model_reads_whole_sentences(spark):
+    """Counts of the first order are as many as the known words of the whole corpus."""
+    from checks import inputs
+
+    sentences, vocab = inputs.whole_sentences(spark, "/root/testdata/sf0.001")
+    model = N.ngram_model(sentences, 2)
+    known = vocab.where("freq IS NOT NULL").agg(F.sum("freq")).first()[0]
+    assert model.where("order = 1").agg(F.sum("n")).first()[0] == known
+    assert sentences.agg(F.max(F.size("ids"))).first()[0] > 22
