@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from ..sources.tables import read_table
 
-__all__ = ["SPACES", "digest", "documents", "lower_ascii", "map_batches", "materialise", "read_table", "text_rows", "worker_store"]
+__all__ = ["SPACES", "digest", "discard", "documents", "lower_ascii", "map_batches", "materialise", "read_table", "text_rows", "worker_store"]
 
 # The white space that ends a word.
 SPACES = " \t\n\r\x0b\x0c"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, map_batches, materialise, text_rows
+from .common import discard, lower_ascii, map_batches, materialise, text_rows
 
 DISTANCE, BITS = 4, 64
 SEED = 42
@@ -235,15 +235,19 @@ def components(links: DataFrame) -> DataFrame:
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root"))
         for _ in range(2):
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            hooks = materialise(hooks.join(up, "root").select("node", F.col("up").alias("root")), "hooks")
+            before, hooks = hooks, materialise(hooks.join(up, "root").select("node", F.col("up").alias("root")), "hooks")
+            discard(before)
         up = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
         if labels is None:
-            labels = hooks
+            labels = materialise(hooks, "labels")
         else:
+            old = labels
             labels = materialise(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
+            discard(old)
         ends = left.join(hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
         ends = ends.join(hooks.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
-        left = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        before, left = left, materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(before, hooks)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
