@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, text_rows
-from .tokens import Encoder
+from .tokens import TEXTS, Encoder
 
 # Fixed values of the format.
 MASK_DELTA, END_BYTE, WIDE, NO_ID = 0xA282EAD8, b"\n", 1, 2
@@ -108,8 +108,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> N
         encoder = Encoder(vocabulary)
         last = np.array([end_id], dtype=encoder.dtype if end_id < 1 << 8 * encoder.dtype.itemsize else "<u4")
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2_000):
-                part = batch.slice(begin, 2_000)
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
                 tokens = encoder.encode(part.column("text").to_pylist())
                 yield {"frame": [frame(i, np.concatenate([t, last])) for i, t in zip(part.column("doc_id").to_pylist(), tokens)]}
 

@@ -12,14 +12,20 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
 from pathlib import Path
 
 import numpy as np
 
 from .common import worker_store
 
-# Parts of up to this many characters are kept, up to this many of them per worker (about 100 MB).
-KEEP_CHARS, KEEP_PARTS = 48, 400_000
+# Parts of up to this many characters are kept when they come back, up to this many of them per
+# worker (about 80 MB). A byte per hash tells what was seen.
+KEEP_CHARS, KEEP_PARTS, SEEN = 32, 300_000, 1 << 22
+
+# Texts to encode at a time.
+TEXTS = 500
 
 # Marks that end a word and are a piece of their own.
 MARKS = ".,;:!?"
@@ -32,6 +38,13 @@ def load_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+def _all_normal(parts: set[str]) -> bool:
+    """Whether no part holds white space but a line break in front."""
+    text = (" " + " ".join(parts)).replace(" \n", " ")
+    words = text.split()
+    return len(words) == len(parts) and len(text) - sum(map(len, words)) == len(parts)
+
+
 class Encoder:
     """``encode(texts)`` gives an array of ids per text, two bytes each where the vocabulary allows it."""
 
@@ -44,8 +57,8 @@ class Encoder:
         if key not in store:
             tokenizer = Tokenizer.from_str(vocabulary)
             tokenizer.encode_special_tokens = True
-            store[key] = (tokenizer, {})
-        self.tokenizer, self.known = store[key]
+            store[key] = (tokenizer, {}, bytearray(SEEN))
+        self.tokenizer, self.known, self.seen = store[key]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
         self.line_break = self._plain("\n").tobytes()
 
@@ -68,18 +81,21 @@ class Encoder:
         bare = dict.fromkeys(x for _, word, marks in ended for x in (word, "\n" + marks) if x not in known)
         whole = list(bare.keys() | whole)
         ids = self._plain("".join(part if part[0] == "\n" else "\n " + part for part in whole))
-        starts = np.flatnonzero(ids == np.frombuffer(self.line_break, self.dtype)[0]).tolist()
-        for part, begin, end in zip(whole, starts, [*starts[1:], len(ids)], strict=True):
-            known[part] = ids[begin + (part[0] != "\n") : end].tobytes()
         size = self.dtype.itemsize
+        starts = (np.flatnonzero(ids == np.frombuffer(self.line_break, self.dtype)[0]) * size).tolist()
+        data = ids.tobytes()
+        for part, begin, end in zip(whole, starts, [*starts[1:], len(data)], strict=True):
+            known[part] = data[begin if part[0] == "\n" else begin + size : end]
         for part, word, marks in ended:
             known[part] = known[word] + known["\n" + marks][size:]
         return bare
 
     def _learn(self, texts_parts: list[list[str]], found: list[list]) -> tuple[dict, set[str]]:
-        missing = dict.fromkeys(p for parts, ids in zip(texts_parts, found) for p, i in zip(parts, ids) if i is None)
-        odd = {part for part in missing if not _NORMAL(part)}
-        new = [part for part in missing if part not in odd]
+        missing: set[str] = set()
+        for parts, ids in zip(texts_parts, found):
+            missing.update(compress(parts, map(is_, ids, repeat(None))))
+        odd = set() if _all_normal(missing) else {part for part in missing if not _NORMAL(part)}
+        new = list(missing - odd)
         return (self._encode_parts(new) | dict.fromkeys(new) if new else {}), odd
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -96,8 +112,10 @@ class Encoder:
             joined = b"".join([i or known[p] for p, i in zip(parts, ids)])
             out.append(np.frombuffer(joined, dtype=self.dtype, offset=size))
         for part in new:
-            if room > 0 and len(part) <= KEEP_CHARS:
+            place = hash(part) % SEEN
+            if room > 0 and self.seen[place] and len(part) <= KEEP_CHARS:
                 room -= 1
             else:
+                self.seen[place] = 1
                 del known[part]
         return out
