@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import with_index
 from .common import map_batches, materialise, text_rows
-from .tokens import Encoder
+from .tokens import TEXTS, Encoder
 
 CAPACITY = 2048
 
@@ -46,8 +46,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int =
         encoder = Encoder(vocabulary)
         last = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2_000):
-                part = batch.slice(begin, 2_000)
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
                 out: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
                 tokens = encoder.encode(part.column("text").to_pylist())
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens):
@@ -177,4 +177,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with the row and the place they are packed at."""
-    return pack(token_pieces(docs, vocabulary, end_id, capacity), capacity)
+    # Written before the sort, which reads its input twice to find its ranges.
+    return pack(materialise(token_pieces(docs, vocabulary, end_id, capacity), "pieces"), capacity)
