@@ -40,7 +40,11 @@ HEADLINE = [
     "sentence_scores",
     "generate_sentences",
     "cross_entropy",
+    "search_training",
+    "recommend_blocks",
     "bpr_factors",
+    "bpr_evaluation",
+    "bpr_recommendations",
 ]
 
 
