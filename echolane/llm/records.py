@@ -80,6 +80,20 @@ def parse(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (None if flags & NO_ID else doc_id), ids, end + 5
 
 
+def heads(data: bytes | memoryview) -> Iterator[tuple[int | None, int, int, int]]:
+    """Document id, number of ids, offset and size of every record, from its head alone."""
+    offset = 0
+    while offset < len(data):
+        if offset + _HEAD_SIZE + _PAYLOAD_SIZE > len(data):
+            raise BadRecord(f"cut off at {offset}")
+        length, check, doc_id, flags = struct.unpack_from(_HEAD + _PAYLOAD[1:], data, offset)
+        size = _HEAD_SIZE + length + 5
+        if masked_crc(data[offset : offset + 4]) != check or offset + size > len(data):
+            raise BadRecord(f"bad length at {offset}")
+        yield None if flags & NO_ID else doc_id, (length - _PAYLOAD_SIZE) // (4 if flags & WIDE else 2), offset, size
+        offset += size
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1).alias("file")
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -117,10 +131,10 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> N
     frames.write.option("lineSep", END_BYTE.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}/data")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for file, found in _records(batches):
-            ids, tokens, offsets, lengths = zip(*found)
-            sizes = [len(t) for t in tokens]
-            yield {"file": [file] * len(ids), "doc_id": ids, "offset": offsets, "length": lengths, "n_tokens": sizes}
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                ids, sizes, offsets, lengths = zip(*heads(memoryview(content.as_buffer())))
+                yield {"file": [file] * len(ids), "doc_id": ids, "offset": offsets, "length": lengths, "n_tokens": sizes}
 
     entries = map_batches(_files(spark, path), index, INDEX_SCHEMA)
     # Names are part-<task>-<job>-c<file>, and tasks hold ascending ranges.
