@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-# SQL has no tokenizer, forest or random walk; tests compare the stages with brute force.
+# SQL has no tokenizer, forest or runs of words; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -1,13 +1,14 @@
 """Benchmark items inside documents, up to a share of edited words.
 
-Texts are sequences of words, in lower case and without punctuation. A window at every word is
-compared with the items of its size: a random walk over the words (CGK embedding) turns edits into
-few differing places, and repeated samples of places are looked up among the items' samples. Every
-candidate is then verified by the exact edit distance of whole words.
+Texts are sequences of words, in lower case and without punctuation. An item of ``n`` words with at
+most ``k`` edited ones keeps, wherever the edits stand, ``(n - k) / (k + 1)`` words in a row as they
+were, rounded up: four at 20 % edits, fewer in short items. The runs of that length at every place
+of an item are looked up at every word of a document, so no leak is missed. As an edit spoils no
+more runs than a run has words, long items must share several on nearby diagonals. Every candidate
+is then verified by the exact edit distance of whole words, from every start that its runs allow.
 
-A window without enough words that occur in any item cannot reach an item and is not walked. The
-number of samples follows from the recall that is asked for. Benchmarks are taken in blocks of a
-bounded number of words, one pass over the documents each, so nothing that travels grows with them.
+Benchmarks are taken in blocks of a bounded number of words, one pass over the documents each, so
+nothing that travels grows with them.
 
 Defined cases: a missing text is an empty one; items and documents without words match nothing;
 equal documents and equal items all get their rows; rows without an id keep null; empty tables give
@@ -16,10 +17,9 @@ none. ``drop_leaks`` keeps all columns, whatever their names, and decides each r
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_rows
 
-# Edited words per word of an item, recall to reach at that share, places per sample, walks.
-MAX_EDITS, RECALL, PLACES, WALKS = 0.2, 0.95, 3, 4
+# Edited words per word of an item.
+MAX_EDITS = 0.2
 
-# Outputs of a walk at most, words of a block of items, texts to search at a time.
-STEPS, BLOCK_WORDS, TEXTS = 32, 1_000_000, 500
+# Words of a block of items, texts to search at a time.
+BLOCK_WORDS, TEXTS = 1_000_000, 500
 
 _KEEP = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -49,135 +49,135 @@ def most_edits(n: int, share: float = MAX_EDITS) -> int:
     return int(n * share + 1e-9)
 
 
-def samples_for(recall: float, share: float, places: int) -> int:
-    """Samples that find a window with that share of edits: an edit spoils three to four places."""
-    agree = max(1 - 3.5 * share, 0.05) ** places
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree))
+def kept_run(n: int, most: int) -> int:
+    """Words in a row that ``most`` edits leave as they were somewhere in an item of ``n`` words."""
+    return -(-(n - most) // (most + 1))
 
 
-def edit_distance(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int]:
-    """Least edits from ``item`` to a prefix of ``words``, and that prefix's length; above ``most`` any number."""
-    n = len(item)
-    words = words[: n + most]
-    row = np.arange(len(words) + 1)
-    steps = np.arange(len(words) + 1)
-    for i in range(n):
-        kept = np.empty(len(words) + 1, np.int64)
-        kept[0] = i + 1
-        kept[1:] = np.minimum(row[:-1] + (words != item[i]), row[1:] + 1)
+def edit_distances(item: np.ndarray, windows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per window, the least edits from ``item`` to a prefix of it, and that prefix's length; above ``most`` any number."""
+    steps = np.arange(windows.shape[1] + 1)
+    rows = np.tile(steps, (len(windows), 1))
+    for i in range(len(item)):
+        kept = np.empty_like(rows)
+        kept[:, 0] = i + 1
+        kept[:, 1:] = np.minimum(rows[:, :-1] + (windows != item[i]), rows[:, 1:] + 1)
         # Insertions run to the right: the least so far plus the steps since.
-        row = np.minimum.accumulate(kept - steps) + steps
-        if row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+        rows = np.minimum.accumulate(kept - steps, axis=1) + steps
+        if rows.min(initial=most + 1) > most:
+            return np.full(len(windows), most + 1), np.zeros(len(windows), np.int64)
+    ends = rows.argmin(axis=1)
+    return rows[np.arange(len(rows)), ends], ends
+
+
+def edit_distance(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int]:
+    distances, ends = edit_distances(item, words[None, : len(item) + most], most)
+    return int(distances[0]), int(ends[0])
 
 
 @dataclass
-class SizeClass:
-    """Items of similar size with their samples."""
+class Runs:
+    """Sorted keys of all runs of ``length`` words, with the item and the place in it of each."""
 
-    low: int
-    known: int
-    items: list[int]
-    places: list[list[int]]
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    length: int
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
+    marked: np.ndarray
 
 
 class Index:
-    """Samples of a block of items."""
+    """Runs of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], share: float = MAX_EDITS, recall: float = RECALL, seed: int = 1):
-        self.share = share
+    def __init__(self, items: list[tuple[int, list[bytes]]], share: float = MAX_EDITS, seed: int = 1):
         self.vocabulary: dict[bytes, int] = {}
         for _, words in items:
             for word in words:
                 self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
         self.ids = [item_id for item_id, _ in items]
         self.items = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in items]
-        draw = np.random.default_rng(seed)
-        self.steps = draw.integers(1 << 62, size=(WALKS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.mix = draw.integers(1 << 62, size=PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.gap = max([most_edits(len(i), share) for i in self.items], default=0) + 1
-        by_class = defaultdict(list)
-        for number, item in enumerate(self.items):
+        self.factor = np.random.default_rng(seed).integers(1 << 62, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.most = np.array([most_edits(len(i), share) for i in self.items], np.int64)
+        self.gap = int(self.most.max(initial=0)) + 1
+        self.pad = max(map(len, self.items), default=0) + 2 * self.gap
+        by_length = defaultdict(list)
+        # Runs that an item shares with every leak of it at least: an edit spoils as many as a run has words.
+        self.least = np.ones(len(self.items), np.int64)
+        for number, (item, most) in enumerate(zip(self.items, self.most.tolist())):
             if len(item):
-                by_class[int(math.log(len(item)) / math.log(1.25) + 1e-9)].append(number)
-        samples = math.ceil(samples_for(recall, share, PLACES) / WALKS)
-        self.classes = []
-        for numbers in by_class.values():
-            sizes = [len(self.items[i]) for i in numbers]
-            low = min(sizes)
-            length = min(low, STEPS)
-            places = [sorted(draw.choice(length, min(PLACES, length), replace=False).tolist()) for _ in range(samples)]
-            self.classes.append(SizeClass(low, low - most_edits(max(sizes), share), numbers, places))
-        for group in self.classes:
-            ends = np.cumsum([len(self.items[i]) for i in group.items])
-            flat = np.concatenate([self.items[i] for i in group.items])
-            starts = ends - [len(self.items[i]) for i in group.items]
-            for keys in self._keys(flat, starts, group):
-                order = np.argsort(keys, kind="stable")
-                group.tables.append((keys[order], order))
-
-    def _keys(self, words: np.ndarray, starts: np.ndarray, group: SizeClass) -> Iterator[np.ndarray]:
-        """One key per start for every walk and sample."""
-        length = min(group.low, STEPS)
-        for walk in range(WALKS):
-            at, out = starts.copy(), np.empty((length, len(starts)), np.uint64)
-            for step in range(length):
-                out[step] = words[at]
-                # The walk moves on or stays, by a random function of step and word.
-                at += ((out[step] + np.uint64(1)) * self.steps[walk, step] >> np.uint64(63)).astype(np.int64)
-            for places in group.places:
-                key = np.zeros(len(starts), np.uint64)
-                for place, factor in zip(places, self.mix):
-                    key = (key ^ out[place]) * factor
-                    key ^= key >> np.uint64(29)
-                yield key
-
-    def _candidates(self, words: np.ndarray, known: np.ndarray, group: SizeClass) -> Iterator[tuple[int, np.ndarray]]:
-        """Items, each with the starts of the windows that share a sample with it."""
-        last = len(words) - group.low
-        if last < 0:
+                length = max(1, kept_run(len(item), most))
+                by_length[length].append(number)
+                self.least[number] = max(1, len(item) - length + 1 - most * length)
+        self.runs = []
+        for length, numbers in sorted(by_length.items()):
+            counts = [len(self.items[i]) - length + 1 for i in numbers]
+            keys = np.concatenate([self._keys(self.items[i], length) for i in numbers])
+            order = np.argsort(keys, kind="stable")
+            places = np.concatenate([np.arange(n) for n in counts])
+            marked = np.zeros(1 << 20, bool)
+            marked[keys >> np.uint64(44)] = True
+            self.runs.append(Runs(length, keys[order], np.repeat(numbers, counts)[order], places[order], marked))
+
+    def _keys(self, words: np.ndarray, length: int) -> np.ndarray:
+        """One key per run of ``length`` words."""
+        n = len(words) - length + 1
+        key = np.zeros(max(n, 0), np.uint64)
+        for place in range(length if n > 0 else 0):
+            key = (key ^ words[place : place + n].astype(np.uint64)) * self.factor
+            key ^= key >> np.uint64(29)
+        return key * self.factor
+
+    def _candidates(self, words: np.ndarray, runs: Runs) -> Iterator[tuple[int, np.ndarray]]:
+        """Items, each with the starts that a leak which shares enough runs may have."""
+        n = len(words) - runs.length + 1
+        if n <= 0:
             return
-        starts = np.flatnonzero(known[group.low : group.low + last + 1] - known[: last + 1] >= group.known)
-        if not len(starts):
-            return
-        pairs = []
-        for key, (keys, order) in zip(self._keys(words, starts, group), group.tables):
-            marked = np.zeros(1 << 16, bool)
-            marked[keys >> np.uint64(48)] = True
-            hits = np.flatnonzero(marked[key >> np.uint64(48)])
-            first, end = (np.searchsorted(keys, key[hits], side=side) for side in ("left", "right"))
-            counts = end - first
-            place = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            pairs.append(order[place] * len(words) + np.repeat(starts[hits], counts))
-        pairs = np.unique(np.concatenate(pairs))
-        which, at = pairs // len(words), pairs % len(words)
-        cuts = np.flatnonzero(np.diff(which)) + 1
-        for begin, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(which)]):
+        known = np.concatenate([[0], np.cumsum(words > 0)])
+        at = np.flatnonzero(known[runs.length :] - known[:-runs.length] == runs.length)
+        key = self._keys(words, runs.length)[at]
+        seen = runs.marked[key >> np.uint64(44)]
+        at, key = at[seen], key[seen]
+        first, end = (np.searchsorted(runs.keys, key, side=side) for side in ("left", "right"))
+        counts = end - first
+        place = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        # Diagonals of all hits, item by item, too far apart between items to be neighbours.
+        items = runs.items[place]
+        width = len(words) + 2 * self.pad
+        hits = np.sort(items * width + np.repeat(at, counts) - runs.places[place] + self.pad)
+        items = hits // width
+        most = 2 * self.most[items]
+        near = np.searchsorted(hits, hits + most, side="right") - np.searchsorted(hits, hits - most, side="left")
+        hits = np.unique(hits[near >= self.least[items]])
+        items = hits // width
+        cuts = np.flatnonzero(np.diff(items)) + 1
+        for begin, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hits)]):
             if begin < stop:
-                yield group.items[int(which[begin])], at[begin:stop]
+                number = int(items[begin])
+                shifts = np.arange(-self.most[number], self.most[number] + 1)
+                starts = np.unique(((hits[begin:stop] % width - self.pad)[:, None] + shifts).ravel())
+                starts = starts[(starts >= 0) & (starts < len(words))]
+                # What stands between texts is no start.
+                yield number, starts[words[starts] >= 0]
 
     def _verify(self, words: np.ndarray, starts: np.ndarray, number: int) -> Iterator[tuple[int, int, int]]:
         """``start, n_words, distance`` of the windows that are close enough."""
-        item = self.items[number]
+        item, most = self.items[number], int(self.most[number])
         n = len(item)
-        most = most_edits(n, self.share)
-        # All but the edited words of the item must stand near their place; both ends of the words are gaps.
-        near = np.zeros((len(starts), n), bool)
-        for shift in range(-most, most + 1):
-            places = np.clip(starts[:, None] + np.arange(shift, n + shift), 0, len(words) - 1)
-            near |= words[places] == item
-        shared = near.sum(axis=1)
-        for start in starts[shared >= n - most].tolist():
-            here = words[start : start + n]
-            if len(here) == n and (here == item).all():
-                yield start, n, 0
-            elif most:
-                distance, length = edit_distance(item, words[start:], most)
-                if distance <= most:
-                    yield start, length, distance
+        for begin in range(0, len(starts), TEXTS):
+            here = starts[begin : begin + TEXTS]
+            # All but the edited words of the item must stand near their place; both ends of the words are gaps.
+            near = np.zeros((len(here), n), bool)
+            for shift in range(-most, most + 1):
+                places = np.clip(here[:, None] + np.arange(shift, n + shift), 0, len(words) - 1)
+                near |= words[places] == item
+            here = here[near.sum(axis=1) >= n - most]
+            if not len(here):
+                continue
+            places = here[:, None] + np.arange(n + most)
+            windows = np.where(places < len(words), words[np.minimum(places, len(words) - 1)], -1)
+            distances, lengths = edit_distances(item, windows, most)
+            close = distances <= most
+            yield from zip(here[close].tolist(), lengths[close].tolist(), distances[close].tolist())
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """``text, item, start, n_words, distance`` of every leak; of overlapping windows the closest."""
@@ -190,14 +190,13 @@ class Index:
             size += len(tokens)
             ends.append(size)
             size += self.gap
-        if not self.classes or not texts:
+        if not self.runs or not texts:
             return []
         words = np.concatenate(parts)
-        known = np.concatenate([[0], np.cumsum(words > 0)])
         ends = np.array(ends)
         found = []
-        for group in self.classes:
-            for number, starts in self._candidates(words, known, group):
+        for runs in self.runs:
+            for number, starts in self._candidates(words, runs):
                 for start, length, distance in self._verify(words, starts, number):
                     text = int(np.searchsorted(ends, start, side="right"))
                     begin = int(ends[text - 1]) + self.gap if text else self.gap
@@ -211,21 +210,21 @@ class Index:
         return [(text, self.ids[number], *rest) for text, number, *rest in sorted(kept)]
 
 
-def blocks(benchmark: DataFrame, share: float = MAX_EDITS, recall: float = RECALL) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, share: float = MAX_EDITS) -> Iterator[Index]:
     """Indexes of the items ``item_id, text``, each of at most about ``BLOCK_WORDS`` words."""
     items, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         words = words_of(row["text"] or "")
         if items and size + len(words) > BLOCK_WORDS:
-            yield Index(items, share, recall)
+            yield Index(items, share)
             items, size = [], 0
         items.append((row["item_id"], words))
         size += len(words)
-    yield Index(items, share, recall)
+    yield Index(items, share)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, distance`` of every leak."""
 
     def search(index: Index) -> DataFrame:
@@ -240,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
         return map_batches(text_rows(docs), work, LEAKS)
 
     found = None
-    for index in blocks(benchmark, share, recall):
+    for index in blocks(benchmark, share):
         found = search(index) if found is None else found.unionByName(search(index))
     return found
 
@@ -248,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
 _NO_LEAKS = {"doc_id": [], "item_id": [], "start_word": [], "n_words": [], "distance": []}
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS) -> DataFrame:
     """The documents without any leak, with all their columns."""
 
     def clean(rows: DataFrame, index: Index) -> DataFrame:
@@ -262,6 +261,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = MAX_EDITS,
 
         return rows.mapInArrow(work, rows.schema)
 
-    for index in blocks(benchmark, share, recall):
+    for index in blocks(benchmark, share):
         docs = clean(docs, index)
     return docs

@@ -233,3 +233,31 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert len(list(decontaminate.blocks(bench))) > 2
     assert sorted(decontaminate.find_leaks(frame(spark), bench).collect(), key=str) == once
+
+
+@pytest.mark.parametrize("kind", ["replaced", "deleted", "inserted"])
+@pytest.mark.parametrize("place", ["head", "middle", "end", "anywhere"])
+def test_long_items_with_gathered_edits(kind, place):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    sizes = [7, 12, 20, 40, 59, 60, 80, 100, 150, 200]
+    items = [(i, [w.encode() for w in rng.choices(vocabulary, k=n)]) for i, n in enumerate(sizes * 3)]
+    texts = []
+    for _, words in items:
+        most = decontaminate.most_edits(len(words))
+        begin = {"head": 0, "middle": (len(words) - most) // 2, "end": len(words) - most}.get(place)
+        at = rng.sample(range(len(words)), most) if begin is None else range(begin, begin + most)
+        leak = []
+        for i, word in enumerate(w.decode() for w in words):
+            if i not in at:
+                leak.append(word)
+            elif kind != "deleted":
+                leak += ["edited"] + [word] * (kind == "inserted")
+        texts.append(" ".join(rng.choices(vocabulary, k=30) + leak + rng.choices(vocabulary, k=30)))
+    rows = decontaminate.Index(items).search(texts)
+    assert {(text, item) for text, item, *_ in rows} == {(i, i) for i, _ in items}
+    for text, item, start, _, distance in rows:
+        if len(items[item][1]) > 40:
+            continue
+        words = decontaminate.words_of(texts[text])[start:]
+        assert slow_distance(items[item][1], words, len(items[item][1]) // 5)[0] == distance
