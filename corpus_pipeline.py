@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolane.llm import decontaminate, line_chunks, packing, rules, simhash
+from echolane.llm import decontaminate, line_chunks, packing, rules, similar_texts, simhash
 from echolane.llm.common import documents, materialise, read_table
 from echolane.llm.queries import vocabulary
 
@@ -32,8 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies."""
-    return simhash.drop_near_copies(docs, shingle=5)
+    """One document of every group of near copies: of close fingerprints, then of similar shingles."""
+    apart = materialise(simhash.drop_near_copies(docs, shingle=5), "apart")
+    return similar_texts.drop_similar(apart, size=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

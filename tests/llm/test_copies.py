@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from echolane.llm import decontaminate, line_chunks, simhash
 
 from .cases import EXTRA, PLAIN, ROWS, frame
@@ -108,6 +109,29 @@ def test_one_of_each_group_stays(spark):
     assert sorted(map(str, ids)) == sorted(map(str, [1, 2, 5, 6, None, 9, -3]))
 
 
+def test_no_similar_texts_stay(spark):
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    docs = []
+    for base in range(40):
+        words = rng.choices(vocabulary, k=400)
+        docs.append((100 * base, " ".join(words)))
+        for i in range(1, 8):
+            copy = list(words)
+            for place in rng.sample(range(400), 2 * i):
+                copy[place] = "edited"
+            docs.append((100 * base + i, " ".join(copy)))
+    # Nothing but two shingles in common with the others.
+    docs += [(9_000 + i, " ".join(docs[0][1].split()[:6] + rng.choices(vocabulary, k=100))) for i in range(30)]
+    left = corpus_pipeline.near_dedup(spark, frame(spark, docs, EXTRA), "")
+    assert left.columns == ["doc_id", "text", *EXTRA]
+    ids = {r["doc_id"] for r in left.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)} for i, t in docs}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert not [(a, b) for a in ids for b in ids if a < b and near(a, b)]
+    assert {100 * base for base in range(40)} <= ids and {9_000 + i for i in range(30)} <= ids
+
+
 def test_no_documents(spark):
     nothing = frame(spark, rows=[])
     assert simhash.near_copies(nothing, 4).count() == 0
