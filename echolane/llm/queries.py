@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import ctw, decontaminate, line_chunks, packing, personal_data, preference, records, rules, secrets, simhash
+from . import alignment, byte_cnn, ctw, decontaminate, line_chunks, packing, personal_data, preference, records, rules, runs, secrets, simhash
 from .common import documents, read_table
 from .tokens import load_vocabulary
 
@@ -63,6 +63,22 @@ def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return preference.format_pairs(preference.reply_pairs(read_table(spark, folder, "conversations")))
 
 
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    model = alignment.load_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_documents(documents(spark, folder), vocabulary(), model)
+
+
+def byte_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return byte_cnn.score(docs, byte_cnn.fit(docs, read_table(spark, folder, "labels")))
+
+
+def word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digest(runs.periodic_runs(documents(spark, folder), runs.repeated_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": benchmark_leaks,
     "op2_secret_spans": secret_spans,
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_tree_scores": context_tree_scores,
     "op9_quality_rules": quality_rules,
     "op10_preference_pairs": preference_pairs,
+    "op11_token_alignment": token_alignment,
+    "op12_byte_quality": byte_quality,
+    "op13_word_runs": word_runs,
 }
 
 ORACLE: dict[str, str] = {
