@@ -614,7 +614,7 @@ MOVED = """SELECT CAST(side AS INTEGER) AS side, id, CAST(place AS INTEGER) AS p
 FITTED = {
     "pairwise_step": _with(
         """triples AS (
-  SELECT CAST(l_linenumber AS BIGINT) AS u, l_suppkey % 50 AS p, 50 + CAST(l_quantity AS BIGINT) % 50 AS q, CAST(count(*) AS DOUBLE) AS n
+  SELECT l_suppkey AS u, l_partkey AS p, 1 + l_orderkey % (SELECT max(p_partkey) FROM part) AS q, CAST(count(*) AS DOUBLE) AS n
   FROM lineitem GROUP BY ALL)""",
         "ids AS (SELECT 0 AS side, u AS id FROM triples UNION SELECT 1, p FROM triples UNION SELECT 1, q FROM triples)",
         f"vecs AS (SELECT side, id, place, {_start((3.0 / 4) ** 0.5)} AS v FROM ids, range(4) r(place))",
@@ -627,29 +627,37 @@ FITTED = {
   SELECT 0 AS side, u AS id, b.place, s * (b.v - c.v) AS g FROM slopes
   JOIN vecs b ON b.side = 1 AND b.id = p JOIN vecs c ON c.side = 1 AND c.id = q AND c.place = b.place
   UNION ALL SELECT 1, p, place, s * v FROM slopes JOIN vecs ON side = 0 AND id = u
-  UNION ALL SELECT 1, q, place, -s * v FROM slopes JOIN vecs ON side = 0 AND id = u)""",
+  UNION ALL SELECT 1, q, place, -s * v FROM slopes JOIN vecs ON side = 0 AND id = u
+  UNION ALL SELECT side, id, place, 0.01::DOUBLE * v FROM vecs)""",
         ADAM,
-        "figures AS (SELECT round(sum(-chance * n), 6) AS loss, round(sum(diff * n) / sum(n), 6) AS mean_diff FROM slopes)",
+        """figures AS (
+  SELECT round(sum(-chance * n) + (SELECT 0.005::DOUBLE * sum(v * v) FROM vecs), 6) AS loss, round(sum(diff * n) / sum(n), 6) AS mean_diff
+  FROM slopes)""",
     )
     + MOVED,
     "noise_step": _with(
-        "pairs AS (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS u, 1 + l_suppkey % 50 AS c FROM lineitem)",
-        "ids AS (SELECT side, id FROM range(2) s(side), range(1, 61) i(id))",
+        "pairs AS (SELECT DISTINCT 1 + l_suppkey AS u, 1 + l_partkey AS c FROM lineitem)",
+        "size AS (SELECT CAST(max(p_partkey) + 1 AS DOUBLE) AS parts FROM part)",
+        "ids AS (SELECT side, id FROM size, range(2) s(side), range(1, CAST(parts AS BIGINT) + 1) i(id))",
         f"""vecs AS (
   SELECT side, id, place, CASE WHEN side = 0 THEN {_start(1.0)} WHEN place < 4 THEN {_start(0.5)} ELSE 0 END AS v
   FROM ids, range(5) r(place) WHERE side = 1 OR place < 4)""",
-        f"""noise AS (
-  SELECT i, CAST(floor(round(exp((CAST({_bucket('0', '0', '0', 'i')} AS DOUBLE) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE * ln(61)), 9)) AS BIGINT) AS id
-  FROM range(10) r(i))""",
+        f"""draws AS (
+  SELECT i, CAST(floor(round(exp((CAST({_bucket('0', '0', '0', 'i')} AS DOUBLE) + 0.5::DOUBLE) / 1152921504606846976::DOUBLE * ln(parts + 1)), 9)) AS BIGINT) AS id
+  FROM size, range(1000) r(i)),
+noise AS (SELECT id, min(i) AS i FROM draws GROUP BY id ORDER BY i LIMIT 10)""",
         """asked AS (
-  SELECT u, c, -1 AS i, c AS id, -1 AS sign FROM pairs UNION ALL SELECT u, c, i, id, 1 FROM pairs, noise),
+  SELECT u, c, -1 AS i, c AS id, -1 AS sign FROM pairs UNION ALL SELECT u, c, i, id, 1 FROM pairs, noise WHERE c <> id),
 products AS (
   SELECT u, c, i, asked.id, sign, sum(a.v * b.v) AS product FROM asked
   JOIN vecs a ON a.side = 0 AND a.id = u JOIN vecs b ON b.side = 1 AND b.id = asked.id AND b.place = a.place
   GROUP BY u, c, i, asked.id, sign),
-scores AS (SELECT *, product - ln(10 * ln(1 + 1 / CAST(id AS DOUBLE)) / ln(61)) AS score FROM products),
+scores AS (
+  SELECT p.*, product - ln(1 - pow(1 - ln(1 + 1 / CAST(id AS DOUBLE)) / ln(parts + 1), (SELECT 1 + max(i) FROM noise))) AS score
+  FROM products p, size),
 slopes AS (
-  SELECT *, (1 / (1 + exp(-score)) - CASE WHEN sign < 0 THEN 1 ELSE 0 END) / (SELECT count(*) FROM pairs) AS s FROM scores)""",
+  SELECT *, (1 / (1 + exp(-score)) - CASE WHEN sign < 0 THEN 1 ELSE 0 END) / (SELECT count(*) FROM pairs) AS s,
+    sum(sign) OVER (PARTITION BY u, c) + 1 AS noises FROM scores)""",
         """grads AS (
   SELECT 0 AS side, u AS id, place, s * v AS g FROM slopes JOIN vecs w ON w.side = 1 AND w.id = slopes.id AND place < 4
   UNION ALL SELECT 1, slopes.id, place, s * v FROM slopes JOIN vecs w ON w.side = 0 AND w.id = u
@@ -657,7 +665,7 @@ slopes AS (
         ADAM,
         """figures AS (
   SELECT round(sum(ln(1 + exp(sign * score))) / (SELECT count(*) FROM pairs), 6) AS loss,
-    round(sum(CASE WHEN sign < 0 THEN score ELSE -score / 10 END) / (SELECT count(*) FROM pairs), 6) AS mean_diff FROM slopes)""",
+    round(sum(CASE WHEN sign < 0 THEN score ELSE -score / noises END) / (SELECT count(*) FROM pairs), 6) AS mean_diff FROM slopes)""",
     )
     + MOVED,
 }

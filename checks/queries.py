@@ -478,18 +478,26 @@ def _moved(fitted):
 
 
 def pairwise_step(spark, folder):
-    """One step over all order lines at once: line numbers prefer suppliers to quantities."""
+    """One step over all order lines: suppliers prefer the parts they ship to parts that the order's number names.
+
+    The SQL takes the step over all lines at once, as one block does (260,000 different rows).
+    """
     lines = read_table(spark, folder, "lineitem")
-    names = [F.col("l_linenumber").alias("left"), (F.col("l_suppkey") % 50).alias("pos"), (50 + F.col("l_quantity").cast("long") % 50).alias("neg")]
+    parts = read_table(spark, folder, "part").agg(F.max("p_partkey")).first()[0]
+    names = [F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("pos"), (1 + F.col("l_orderkey") % parts).alias("neg")]
     rows = lines.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return _moved(A.fit_pairwise(rows, dim=4, reg=0.0, epochs=1, batch_rows=1 << 30, seed=SEED))
+    return _moved(A.fit_pairwise(rows, dim=4, reg=0.01, epochs=1, batch_rows=1 << 30, seed=SEED))
 
 
 def noise_step(spark, folder):
-    """One step over all pairs of line number and supplier, against ten words drawn for it."""
+    """One step over all pairs of supplier and part, against ten parts drawn for it.
+
+    The SQL takes the step over all pairs at once, as one block does (260,000 pairs).
+    """
     lines = read_table(spark, folder, "lineitem")
-    pairs = lines.select(F.col("l_linenumber").alias("center"), (1 + F.col("l_suppkey") % 50).alias("context")).distinct()
-    return _moved(A.fit_skipgram(pairs, 60, dim=4, lr=0.01, epochs=1, batch_rows=1 << 30, seed=SEED))
+    parts = read_table(spark, folder, "part").agg(F.max("p_partkey") + 1).first()[0]
+    pairs = lines.select((1 + F.col("l_suppkey")).alias("center"), (1 + F.col("l_partkey")).alias("context")).distinct()
+    return _moved(A.fit_skipgram(pairs, parts, dim=4, lr=0.01, epochs=1, batch_rows=1 << 30, seed=SEED))
 
 
 def bpr_factors(spark, folder):
