@@ -280,7 +280,8 @@ WHERE dt BETWEEN '20240109' AND '20240115' AND type = 'click'
 WHERE user_id IN (SELECT user_id FROM day_events WHERE type = 'purchase' AND value >= 100)""",
     "keyword_search": _with(
         CATALOG,
-        _found("""SELECT DISTINCT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_type]) AS keyword FROM part"""),
+        _found("""SELECT DISTINCT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_type]) AS keyword FROM part
+  UNION SELECT string_agg(DISTINCT p_name, ' ' ORDER BY p_name) FROM part GROUP BY p_brand"""),
     )
     + """SELECT keyword, t.type, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score
 FROM found, (VALUES ('song'), ('singer')) t(type)""",

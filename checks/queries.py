@@ -208,7 +208,10 @@ def keyword_search(spark, folder):
     parts = read_table(spark, folder, "part")
     kinds = F.explode(F.array(F.lit("song"), F.lit("singer"))).alias("type")
     words = F.explode(F.array("p_name", F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", "p_type")))
-    found = L.keyword_search(parts.select(words.alias("keyword"), kinds), I.catalog(spark, folder))
+    # All names of a brand in one query: many words, each of which is in many entries.
+    brands = parts.groupBy("p_brand").agg(F.concat_ws(" ", F.array_sort(F.collect_set("p_name"))).alias("keyword"))
+    asked = parts.select(words.alias("keyword"), kinds).unionByName(brands.select("keyword", kinds))
+    found = L.keyword_search(asked, I.catalog(spark, folder))
     return found.withColumn("score", F.round("score", 6))
 
 

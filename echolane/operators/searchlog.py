@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import null_ids, singular_type
@@ -16,8 +16,11 @@ ID_COLUMNS = ["user_id", "song_id", "album_id", "playlist_id", "singer_id"]
 # which a clicked song ends the list.
 PAGE, SEEN, LAST_OPEN_POSITION = 100, 10, 10
 
-# Queries of up to this many distinct words are answered from word subsets.
-SUBSET_WORDS = 6
+# Catalogue entries of one block, and blocks that a query looks into in its first round.
+BLOCK, FIRST_BLOCKS = 1_024, 4
+
+# Scores are compared after rounding, so that ties are broken by id and not by noise.
+DIGITS = 9
 
 
 def collect_events(events: DataFrame, users: DataFrame, kind: str = "search") -> DataFrame:
@@ -34,9 +37,7 @@ def sequence_id(df: DataFrame, *ties: str, name: str = "order") -> DataFrame:
     return with_index(df, [F.col("dt").desc(), F.col("timestamp"), *map(F.col, ties)], name)
 
 
-def keyword_search(
-    queries: DataFrame, catalog: DataFrame, k: int = PAGE, subset_words: int = SUBSET_WORDS
-) -> DataFrame:
+def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE, block: int = BLOCK) -> DataFrame:
     """The ``k`` best catalogue entries of each distinct query: ``keyword, type, rank, id, score``.
 
     ``queries`` has ``keyword, type``; ``catalog`` has ``id, type, name``. An entry scores the
@@ -44,68 +45,96 @@ def keyword_search(
     equal scores are ordered by id.
 
     A hot word is shared by many queries and many entries, so queries and entries are never
-    paired word by word. An entry in the answer shares some set of words with the query, and
-    must be among the first ``k`` ids that hold this set, since all of them score at least as
-    much. So each word set that occurs in a query is answered once, whatever the number of
-    queries, by its first ``k`` ids, and a query merges the lists of its own word sets.
-    Queries of more than ``subset_words`` known words are scored directly instead.
+    paired word by word. Every word that is asked for hands out its first ``k`` ids once. These
+    give each query its first answers, and the least score among them is its threshold. An entry
+    that is not among them shares only words with more than ``k`` entries, and if it shares but one,
+    ``k`` entries with smaller ids score as much; so queries with at most one such word are done.
+
+    For the others, entries lie in blocks of ``block`` neighbouring ids, and every word keeps the list
+    of its blocks. A query takes its heavy words until the rest together cannot reach the threshold;
+    the blocks of these words, each with the most that an entry in it can score, are looked into
+    from the highest bound down, four times as many in every round, until no bound can beat what the
+    query has found. That is exact whatever the number of words.
     """
     entries = catalog.select("id", "type", _distinct_words("name").alias("words"))
-    postings = entries.select("type", "id", "words", F.explode("words").alias("word"))
+    entries = with_index(entries, [F.col("type").asc(), F.col("id").asc()], "__at")
+    entries = materialise(entries.withColumn("block", F.floor(F.col("__at") / block)).drop("__at"), "entries")
+    postings = entries.select("type", "id", "words", "block", F.explode("words").alias("word"))
     sizes = entries.groupBy("type").agg(F.count(F.lit(1)).alias("entries"))
     weights = postings.groupBy("type", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "type")
-    weights = weights.select("type", "word", F.log1p(F.col("entries") / F.col("df")).alias("weight"))
+    weights = weights.select("type", "word", "df", F.log1p(F.col("entries") / F.col("df")).alias("weight"))
 
     asked = queries.select("keyword", "type").distinct()
     words = asked.select("keyword", "type", F.explode(_distinct_words("keyword")).alias("word"))
     known = words.join(weights, ["type", "word"]).groupBy("keyword", "type").agg(
-        F.reverse(F.sort_array(F.collect_list(F.struct("weight", "word")))).alias("terms")
+        F.reverse(F.sort_array(F.collect_list(F.struct("weight", "word", "df")))).alias("terms")
     )
     known = materialise(known, "queries")
-    scored = _by_word_sets(known.where(F.size("terms") <= subset_words), postings, k)
-    long = known.where(F.size("terms") > subset_words)
-    if not long.isEmpty():
-        scored = scored.unionByName(_by_words(long, postings))
-    order = [F.round("score", 9).desc(), F.col("id").asc()]
-    found = top_n(scored, ["keyword", "type"], order, k)
-    return found.select("keyword", "type", "rank", "id", "score")
+    best = materialise(_best(_first_answers(known, postings, k), k), "best")
+    best = _look_into_blocks(known, entries, postings, best, k)
+    return best.select("keyword", "type", "rank", "id", "score")
 
 
 def _distinct_words(text: str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def _by_word_sets(known: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    masks = F.sequence(F.lit(1), _bit(F.size("terms")) - 1)
-    subsets = known.select("keyword", "type", "terms", F.explode(masks).alias("mask")).select(
-        "keyword",
-        "type",
-        F.filter("terms", lambda _, i: F.col("mask").bitwiseAND(_bit(i)) != 0).alias("set"),
-    )
-    subsets = subsets.select(
-        "keyword",
-        "type",
-        F.array_sort(F.col("set.word")).alias("words_asked"),
-        F.col("set")[0]["word"].alias("word"),  # the rarest word of the set
-        F.aggregate("set", F.lit(0.0), lambda acc, t: acc + t["weight"]).alias("score"),
-    )
-    wanted = subsets.select("type", "word", "words_asked").distinct()
-    holding = postings.join(wanted, ["type", "word"]).where(
-        F.forall("words_asked", lambda w: F.array_contains("words", w))
-    )
-    lists = top_n(holding.select("type", "words_asked", "id"), ["type", "words_asked"], [F.col("id").asc()], k)
-    merged = subsets.join(lists.drop("rank"), ["type", "words_asked"])
-    return merged.groupBy("keyword", "type", "id").agg(F.max("score").alias("score"))
+def _score(terms: str, words: str) -> Column:
+    shared = F.filter(terms, lambda t: F.array_contains(words, t["word"]))
+    return F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + t["weight"]).alias("score")
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each query; an entry may have been found more than once."""
+    once = scored.groupBy("keyword", "type", "id").agg(F.max("score").alias("score"))
+    return top_n(once, ["keyword", "type"], [F.round("score", DIGITS).desc(), F.col("id").asc()], k)
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), i)
+def _first_answers(known: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    terms = known.select("keyword", "type", "terms", F.explode("terms.word").alias("word"))
+    lists = postings.join(terms.select("type", "word").distinct(), ["type", "word"])
+    lists = top_n(lists.select("type", "word", "id", "words"), ["type", "word"], [F.col("id").asc()], k).drop("rank")
+    return terms.join(lists, ["type", "word"]).select("keyword", "type", "id", _score("terms", "words"))
 
 
-def _by_words(known: DataFrame, postings: DataFrame) -> DataFrame:
-    terms = known.select("keyword", "type", F.inline("terms"))
-    hits = terms.join(postings.select("type", "word", "id"), ["type", "word"])
-    return hits.groupBy("keyword", "type", "id").agg(F.sum("weight").alias("score"))
+def _thresholds(best: DataFrame, k: int) -> DataFrame:
+    """Score and id of the last answer of each query that has ``k`` of them."""
+    return best.where(F.col("rank") == k).select("keyword", "type", F.round("score", DIGITS).alias("least"), F.col("id").alias("last"))
+
+
+def _bounded_blocks(known: DataFrame, postings: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Blocks that may hold a better entry: ``keyword, type, block, first, bound, turn``, the highest bound first."""
+    # Any other entry shares no word with up to k entries.
+    hot = known.join(_thresholds(best, k), ["keyword", "type"]).withColumn("hot", F.filter("terms", lambda t: t["df"] > k))
+    after = lambda i: F.aggregate(F.slice("hot", i + 1, F.size("hot")), F.lit(0.0), lambda acc, t: acc + t["weight"])
+    # Words from the heaviest on, as long as what is left can reach the threshold without those before.
+    heavy = F.filter("hot", lambda t, i: F.round(after(i), DIGITS) >= F.col("least"))
+    hot = hot.where(F.size("hot") > 1).withColumn("heavy", heavy).where(F.size("heavy") > 0)
+    rest = F.aggregate(F.slice("hot", F.size("heavy") + 1, F.size("hot")), F.lit(0.0), lambda acc, t: acc + t["weight"])
+    asking = hot.select("keyword", "type", "least", rest.alias("rest"), F.inline("heavy"))
+    places = postings.join(asking.select("type", "word").distinct(), ["type", "word"]).groupBy("type", "word", "block").agg(F.min("id").alias("first"))
+    bounds = asking.join(places, ["type", "word"]).groupBy("keyword", "type", "block", "least").agg(
+        F.min("first").alias("first"), F.round(F.sum("weight") + F.max("rest"), DIGITS).alias("bound")
+    )
+    order = [F.col("bound").desc(), F.col("block").asc()]
+    ranked = F.row_number().over(Window.partitionBy("keyword", "type").orderBy(*order))
+    return bounds.where("bound >= least").drop("least").withColumn("turn", ranked)
+
+
+def _look_into_blocks(known: DataFrame, entries: DataFrame, postings: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    blocks = materialise(_bounded_blocks(known, postings, best, k), "bounds")
+    done, turns = 0, FIRST_BLOCKS
+    while True:
+        # In the order of turns bounds fall, and ids rise where bounds are equal: past the first block that can't help none can.
+        open_blocks = blocks.where((F.col("turn") > done) & (F.col("turn") <= done + turns)).join(_thresholds(best, k), ["keyword", "type"])
+        open_blocks = open_blocks.where((F.col("bound") > F.col("least")) | (F.col("bound") == F.col("least")) & (F.col("first") <= F.col("last")))
+        open_blocks = materialise(open_blocks.select("keyword", "type", "block", "least"), "looked")
+        if open_blocks.isEmpty():
+            return best
+        met = open_blocks.join(known, ["keyword", "type"]).join(entries, ["type", "block"])
+        found = met.select("keyword", "type", "id", "least", _score("terms", "words")).where(F.round("score", DIGITS) >= F.col("least"))
+        best = materialise(_best(best.drop("rank").unionByName(found.drop("least")), k), "best")
+        done, turns = done + turns, turns * 4
 
 
 def result_lists(found: DataFrame) -> DataFrame:

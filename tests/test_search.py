@@ -27,14 +27,37 @@ def by_hand(names, query, k):
     return [i for _, i in sorted(scored, key=lambda s: (-s[0], s[1]))[:k]]
 
 
-@pytest.mark.parametrize("subset_words", [6, 2, 0])
-def test_search_against_scoring_everything(spark, fixture, subset_words):
-    names, asked = fixture
+def answers(spark, names, asked, k, block):
     catalog = spark.createDataFrame([(i, "song", n) for i, n in enumerate(names)], "id long, type string, name string")
     queries = spark.createDataFrame([(q, "song") for q in asked] * 2, "keyword string, type string")
-    found = L.keyword_search(queries, catalog, 7, subset_words)
-    lists = {r["keyword"]: r["results"] for r in L.result_lists(found).collect()}
-    assert lists == {q: by_hand(names, q, 7) for q in asked if by_hand(names, q, 7)}
+    found = L.keyword_search(queries, catalog, k, block)
+    return {r["keyword"]: r["results"] for r in L.result_lists(found).collect()}
+
+
+@pytest.mark.parametrize("block", [1024, 16, 3])
+def test_search_against_scoring_everything(spark, fixture, block):
+    names, asked = fixture
+    assert answers(spark, names, asked, 7, block) == {q: by_hand(names, q, 7) for q in asked if by_hand(names, q, 7)}
+
+
+def test_long_queries_of_hot_words(spark):
+    """Twelve and more words, all of them in more entries than a page holds."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(24)]
+    names = [" ".join(draw.sample(words[:12] if i < 300 else words, draw.randrange(1, 7))) for i in range(600)]
+    asked = [" ".join(draw.sample(words, n)) for n in (7, 8, 12, 12, 16, 20, 24)] + [" ".join(words[:12]), "w3", "w3 w4"]
+    assert answers(spark, names, asked, 5, 10) == {q: by_hand(names, q, 5) for q in asked}
+
+
+def test_few_blocks_are_looked_into(spark, monkeypatch):
+    """Entries that share the words of a query stand together; the other blocks are left alone."""
+    names = [f"a{i // 50} b{i // 50} common other" if i % 2 else f"a{i // 50} common" for i in range(2000)]
+    asked = ["a7 b7 common other x y z u v", "a9 b8 common other w1 w2 w3"]
+    looked = []
+    kept = L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, name: looked.append(kept(df, name)) or looked[-1] if name == "looked" else kept(df, name))
+    assert answers(spark, names, asked, 10, 10) == {q: by_hand(names, q, 10) for q in asked}
+    assert sum(df.count() for df in looked) <= 24  # of 200 blocks for either query
 
 
 def test_days(spark):
