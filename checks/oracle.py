@@ -280,11 +280,14 @@ WHERE dt BETWEEN '20240109' AND '20240115' AND type = 'click'
 WHERE user_id IN (SELECT user_id FROM day_events WHERE type = 'purchase' AND value >= 100)""",
     "keyword_search": _with(
         CATALOG,
-        _found("""SELECT DISTINCT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_type]) AS keyword FROM part
-  UNION SELECT string_agg(DISTINCT p_name, ' ' ORDER BY p_name) FROM part GROUP BY p_brand"""),
+        _found("""SELECT DISTINCT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_type]) AS keyword FROM part"""),
     )
     + """SELECT keyword, t.type, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score
 FROM found, (VALUES ('song'), ('singer')) t(type)""",
+    "keyword_search_long": _with(
+        CATALOG, _found("SELECT DISTINCT string_agg(DISTINCT p_name, ' ' ORDER BY p_name) AS keyword FROM part GROUP BY p_brand")
+    )
+    + "SELECT keyword, 'song' AS type, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM found",
     "label_impressions": _with(SEARCH, CATALOG, FIRST_WORDS, _labelled(10))
     + """SELECT type, action, keyword, CAST(position AS INTEGER) AS position, hit AS label, count(*) AS rows,
   CAST(sum(user_id) AS BIGINT) AS users, CAST(sum(candidate) AS BIGINT) AS entities,

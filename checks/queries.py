@@ -208,10 +208,15 @@ def keyword_search(spark, folder):
     parts = read_table(spark, folder, "part")
     kinds = F.explode(F.array(F.lit("song"), F.lit("singer"))).alias("type")
     words = F.explode(F.array("p_name", F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", "p_type")))
-    # All names of a brand in one query: many words, each of which is in many entries.
+    found = L.keyword_search(parts.select(words.alias("keyword"), kinds), I.catalog(spark, folder))
+    return found.withColumn("score", F.round("score", 6))
+
+
+def keyword_search_long(spark, folder):
+    """All names of a brand in one query: many words, each of which is in many entries."""
+    parts = read_table(spark, folder, "part")
     brands = parts.groupBy("p_brand").agg(F.concat_ws(" ", F.array_sort(F.collect_set("p_name"))).alias("keyword"))
-    asked = parts.select(words.alias("keyword"), kinds).unionByName(brands.select("keyword", kinds))
-    found = L.keyword_search(asked, I.catalog(spark, folder))
+    found = L.keyword_search(brands.select("keyword", F.lit("song").alias("type")), I.catalog(spark, folder))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -595,7 +600,7 @@ _ALL = [
     vocab_full, vocab_tags, noise_lines, sentence_tokens, tagged_tokens, word_counts, context_profiles, word_pairs,
     encoded_sequences, lm_targets, prime_words, sequence_sizes, sequence_batches, pair_batches,
     active_users, replied_openers, comment_groups, country_comment_counts, routed_comments,
-    day_events, trailing_events, collected_events, missing_ids, sequence_ids, keyword_search,
+    day_events, trailing_events, collected_events, missing_ids, sequence_ids, keyword_search, keyword_search_long,
     label_impressions, label_impressions_strict, label_stats, search_training, search_types,
     daily_log_stats, trailing_stats, enriched_songs, enriched_by_kind,
     click_split, frequent_users, activity_split, label_encode, seen_items, model_sizes, sample_frac,

@@ -16,8 +16,9 @@ ID_COLUMNS = ["user_id", "song_id", "album_id", "playlist_id", "singer_id"]
 # which a clicked song ends the list.
 PAGE, SEEN, LAST_OPEN_POSITION = 100, 10, 10
 
-# Catalogue entries of one block, and blocks that a query looks into in its first round.
-BLOCK, FIRST_BLOCKS = 1_024, 4
+# Heaviest words of a query whose sets give it its first answers, catalogue entries of one block,
+# and blocks that a query looks into in its first round.
+SET_WORDS, BLOCK, FIRST_BLOCKS = 6, 1_024, 4
 
 # Scores are compared after rounding, so that ties are broken by id and not by noise.
 DIGITS = 9
@@ -45,13 +46,15 @@ def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE, block:
     equal scores are ordered by id.
 
     A hot word is shared by many queries and many entries, so queries and entries are never
-    paired word by word. Every word that is asked for hands out its first ``k`` ids once. These
-    give each query its first answers, and the least score among them is its threshold. An entry
-    that is not among them shares only words with more than ``k`` entries, and if it shares but one,
-    ``k`` entries with smaller ids score as much; so queries with at most one such word are done.
-
-    For the others, entries lie in blocks of ``block`` neighbouring ids, and every word keeps the list
-    of its blocks. A query takes its heavy words until the rest together cannot reach the threshold;
+    paired word by word. An entry in the answer shares some set of words with the query, and
+    must be among the first ``k`` ids that hold this set, since all of them score at least as
+    much. So each set of the six heaviest words of a query, and each of its other words alone, is
+    answered once, whatever the number of queries, by its first ``k`` ids. That is all for queries
+    of up to six words. A longer one takes the least score of its first answers as a threshold. An
+    entry that is not among them shares only words with more than ``k`` entries.
+
+    For those, entries lie in blocks of ``block`` neighbouring ids, and every word keeps the list of
+    its blocks. A query takes its heavy words until the rest together cannot reach the threshold;
     the blocks of these words, each with the most that an entry in it can score, are looked into
     from the highest bound down, four times as many in every round, until no bound can beat what the
     query has found. That is exact whatever the number of words.
@@ -71,7 +74,7 @@ def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE, block:
     )
     known = materialise(known, "queries")
     best = materialise(_best(_first_answers(known, postings, k), k), "best")
-    best = _look_into_blocks(known, entries, postings, best, k)
+    best = _look_into_blocks(known.where(F.size("terms") > SET_WORDS), entries, postings, best, k)
     return best.select("keyword", "type", "rank", "id", "score")
 
 
@@ -91,10 +94,24 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _first_answers(known: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    terms = known.select("keyword", "type", "terms", F.explode("terms.word").alias("word"))
-    lists = postings.join(terms.select("type", "word").distinct(), ["type", "word"])
-    lists = top_n(lists.select("type", "word", "id", "words"), ["type", "word"], [F.col("id").asc()], k).drop("rank")
-    return terms.join(lists, ["type", "word"]).select("keyword", "type", "id", _score("terms", "words"))
+    heaviest = F.slice("terms.word", 1, SET_WORDS)
+    masks = F.sequence(F.lit(1), _bit(F.size(heaviest)) - 1)
+    sets = known.select("keyword", "type", "terms", heaviest.alias("heaviest"), F.explode(masks).alias("mask")).select(
+        "keyword", "type", "terms", F.filter("heaviest", lambda _, i: F.col("mask").bitwiseAND(_bit(i)) != 0).alias("set")
+    )
+    alone = known.where(F.size("terms") > SET_WORDS).select(
+        "keyword", "type", "terms", F.explode(F.slice("terms.word", SET_WORDS + 1, F.size("terms"))).alias("word")
+    )
+    sets = sets.unionByName(alone.select("keyword", "type", "terms", F.array("word").alias("set")))
+    sets = sets.select("keyword", "type", "terms", F.col("set")[0].alias("word"), F.array_sort("set").alias("set"))  # the rarest word
+    wanted = sets.select("type", "word", "set").distinct()
+    holding = postings.join(wanted, ["type", "word"]).where(F.forall("set", lambda w: F.array_contains("words", w)))
+    lists = top_n(holding.select("type", "set", "id", "words"), ["type", "set"], [F.col("id").asc()], k).drop("rank")
+    return sets.join(lists, ["type", "set"]).select("keyword", "type", "id", _score("terms", "words"))
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), i)
 
 
 def _thresholds(best: DataFrame, k: int) -> DataFrame:
@@ -104,7 +121,7 @@ def _thresholds(best: DataFrame, k: int) -> DataFrame:
 
 def _bounded_blocks(known: DataFrame, postings: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """Blocks that may hold a better entry: ``keyword, type, block, first, bound, turn``, the highest bound first."""
-    # Any other entry shares no word with up to k entries.
+    # Entries of words with up to k of them are all among the answers.
     hot = known.join(_thresholds(best, k), ["keyword", "type"]).withColumn("hot", F.filter("terms", lambda t: t["df"] > k))
     after = lambda i: F.aggregate(F.slice("hot", i + 1, F.size("hot")), F.lit(0.0), lambda acc, t: acc + t["weight"])
     # Words from the heaviest on, as long as what is left can reach the threshold without those before.
@@ -122,6 +139,8 @@ def _bounded_blocks(known: DataFrame, postings: DataFrame, best: DataFrame, k: i
 
 
 def _look_into_blocks(known: DataFrame, entries: DataFrame, postings: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    if known.isEmpty():
+        return best
     blocks = materialise(_bounded_blocks(known, postings, best, k), "bounds")
     done, turns = 0, FIRST_BLOCKS
     while True:

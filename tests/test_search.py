@@ -34,8 +34,9 @@ def answers(spark, names, asked, k, block):
     return {r["keyword"]: r["results"] for r in L.result_lists(found).collect()}
 
 
-@pytest.mark.parametrize("block", [1024, 16, 3])
-def test_search_against_scoring_everything(spark, fixture, block):
+@pytest.mark.parametrize("block, set_words", [(1024, 6), (16, 1), (3, 2)])
+def test_search_against_scoring_everything(spark, fixture, block, set_words, monkeypatch):
+    monkeypatch.setattr(L, "SET_WORDS", set_words)
     names, asked = fixture
     assert answers(spark, names, asked, 7, block) == {q: by_hand(names, q, 7) for q in asked if by_hand(names, q, 7)}
 
