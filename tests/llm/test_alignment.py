@@ -8,7 +8,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from echolane.llm import alignment as A
-from echolane.llm.tokens import load_vocabulary
+from echolane.llm.tokens import ByteLevel, byte_of_mark, load_vocabulary
 
 PATHS = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -20,7 +20,7 @@ def files():
 
 
 def plain_tokens(text, tokenizer, model):
-    marks = A.byte_of_mark()
+    marks = byte_of_mark()
     a = tokenizer.encode(" " + text, add_special_tokens=False).ids
     b = model.encode(text)
     bytes_a = [bytes(marks[c] for c in tokenizer.id_to_token(i)) if i != 50256 else b"?" for i in a]
@@ -91,7 +91,7 @@ def test_alignment_by_brute_force(spark, files, head):
 
 
 def test_both_encoders_of_the_file_agree(files):
-    encoder = A.ByteLevel(files[0])
+    encoder = ByteLevel(files[0], marks_as_text=True)
     assert encoder.fast is not None
     draw = random.Random(2)
     latin = [chr(c) for c in range(256)]

@@ -25,7 +25,6 @@ VOCABULARY = load_vocabulary(PATH)
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,13 +32,24 @@ def plain():
 @given(st.lists(st.text(alphabet="ab'é1.,!?;_$ \n\t\x1c 😘", max_size=40), max_size=5))
 def test_parts_give_the_same_ids(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(map(int, ids)) for ids in Encoder(VOCABULARY).encode(texts)] == want
 
 
-def test_special_marks_are_plain_text(plain):
-    assert 50256 not in Encoder(VOCABULARY).encode(["a <|endoftext|> b"])[0]
+def test_marks_are_what_the_plain_call_makes_of_them(plain):
+    text = "stop <|endoftext|> go"
+    assert Encoder(VOCABULARY).encode([text])[0].tolist() == plain(text) == [11338, 220, 50256, 467]
+
+
+def test_given_documents_are_encoded_as_by_the_plain_call(spark, plain):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [r["text"] or "" for r in rows]
+    assert [ids.tolist() for ids in Encoder(VOCABULARY).encode(texts)] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["a" * 60_000, " " * 60_000, "#$" * 30_000, " \t" * 30_000 + "x", (" " * 999 + "é") * 60])
+def test_long_runs(plain, text):
+    assert Encoder(VOCABULARY).encode([text])[0].tolist() == plain(text)
 
 
 def crc(ids):
