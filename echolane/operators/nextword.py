@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bucket
 from ..session import materialise
 from .corpus import HEAD_WORDS, match
-from .order import top_n
+from .order import heavy_from, top_n
 
 # Choices per word, words per sentence, steps in which a sentence may not end.
 CHOICES, STEPS, OPEN_STEPS = 3, 20, 4
@@ -137,11 +137,11 @@ def _log_share(smooth: bool, words: int) -> Column:
 def score_sentences(sequences: DataFrame, key: list[str], model: DataFrame, ids: str = "ids") -> DataFrame:
     """Log probability of each sentence after its first word: ``key…, words, log_prob``."""
     steps = transitions(sequences.select(*key, ids), 2, ids).select(*key, "context", "next")
-    pairs = model.where("order = 1").select("context", "next", "n", "total")
+    pairs = materialise(model.where("order = 1").select("context", "next", "n", "total"), "steps")
     # A step between two words of the head is looked up where it stands; frequent steps are among these.
-    busy = pairs.orderBy(F.col("n").desc(), "context", "next").limit(HEAD_WORDS).withColumn("__head", F.lit(True))
-    rest = pairs.join(F.broadcast(busy.select("context", "next")), ["context", "next"], "left_anti").withColumn("__head", F.lit(False))
-    known = match(steps, materialise(busy.unionByName(rest), "steps"), ["context", "next"], "left")
+    least = heavy_from(pairs, "n", HEAD_WORDS)
+    pairs = pairs.withColumn("__head", F.lit(False) if least is None else F.col("n") >= least)
+    known = match(steps, pairs, ["context", "next"], "left")
     return known.groupBy(*key).agg(
         F.count(F.lit(1)).alias("words"), F.sum(_log_share(False, 0)).alias("log_prob")
     )

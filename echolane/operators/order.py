@@ -7,6 +7,7 @@ position, so that the numbering itself costs neither a join nor a second shuffle
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
+# A key with more than one in so many rows is hot.
+SHARES = 1_000
+
 _PLACE = "__place"
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -69,3 +73,40 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str =
     """First ``n`` rows of each group; Spark cuts groups before the shuffle as well."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col(rank) <= n)
+
+
+def heavy_from(df: DataFrame, column: str, most: int) -> int | None:
+    """The least value of the positive integer ``column`` from which on there are at most ``most`` rows.
+
+    Read off a histogram with eight steps per doubling, a few hundred rows at any size; so there may
+    be fewer rows than ``most``, and none (None) where the highest step alone holds more.
+    """
+    step = F.floor(F.log2(column) * 8).cast("int").alias("step")
+    rows = df.groupBy(step).agg(F.min(column).alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    least, room = None, most
+    for row in sorted(rows, key=lambda r: -r["step"]):
+        room -= row["n"]
+        if room < 0:
+            break
+        least = row["least"]
+    return least
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join on ``keys`` whose hot keys are measured first and dealt out to several tasks.
+
+    A key of more than one in ``SHARES`` left rows is split into parts of about that size, and
+    its right rows, one or a few per key, are repeated for each part: at most ``SHARES`` keys and twice
+    as many parts. Left rows without a key match nothing and are spread as well.
+    """
+    known = [F.col(k).isNotNull() for k in keys]
+    complete = reduce(lambda a, b: a & b, known)
+    counts = left.where(complete).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialise(counts, "keys")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = counts.where(F.col("__n") * SHARES > total).select(*keys, F.ceil(F.col("__n") * SHARES / max(total, 1)).cast("long").alias("__parts"))
+    parts = F.when(complete, F.coalesce("__parts", F.lit(1))).otherwise(SHARES)
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts)).drop("__parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1)) - 1))
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("__part", each).drop("__parts")
+    return dealt.join(copied, [*keys, "__part"], "left").drop("__part")

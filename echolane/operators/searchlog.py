@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import null_ids, singular_type
 from ..session import materialise
 from .comments import members
-from .order import top_n, with_index
+from .order import join_split, top_n, with_index
 
 ID_COLUMNS = ["user_id", "song_id", "album_id", "playlist_id", "singer_id"]
 
@@ -171,7 +171,7 @@ def _windows(events: DataFrame, results: DataFrame, strict: bool) -> DataFrame:
     ``shown`` holds the results that become rows, the first one at position ``first``.
     """
     typed = events.withColumn("type", singular_type(F.col("type")))
-    joined = typed.join(results, ["keyword", "type"], "left")
+    joined = join_split(typed, results, ["keyword", "type"])
     seen = (
         F.when(F.col("action") == "click", PAGE).when(F.col("action") == "show", SEEN).otherwise(0)
     )

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,31 @@ def test_top_n_is_cut_before_the_shuffle(spark, capsys):
     assert {(r["g"], r["id"]) for r in top.collect()} == {(0, 999), (0, 996), (1, 997), (1, 994), (2, 998), (2, 995)}
     top.explain()
     assert "WindowGroupLimit" in capsys.readouterr().out
+
+
+def test_heavy_rows_by_a_histogram(spark):
+    rows = spark.createDataFrame([(n,) for n in [1] * 500 + [2] * 90 + [7] * 9 + [1000, 1001, 5000]], "n long")
+    for most, want in ((0, None), (1, 5000), (2, 5000), (3, 1000), (12, 7), (101, 7), (102, 2), (700, 1)):
+        assert O.heavy_from(rows, "n", most) == want
+    assert O.heavy_from(rows.limit(0), "n", 5) is None
+
+
+def test_a_hot_key_is_dealt_out(spark):
+    """One key in a third of all rows and as many rows without one, with all skew handling off."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 97}") for i in range(6000)]
+    left = spark.createDataFrame(rows, "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("k5", 2), ("k5", 3), (None, 4)], "k string, v int")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        met = O.join_split(left, right, ["k"]).withColumn("task", F.spark_partition_id())
+        got = met.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by_key = {"hot": [1], "k5": [2, 3]}
+    assert sorted((r["i"], str(r["v"])) for r in got) == sorted((i, str(v)) for i, k in rows for v in by_key.get(k, [None]))
+    tasks = Counter(r["task"] for r in got)
+    assert len(tasks) == 8 and max(tasks.values()) < 2 * len(got) / 8
