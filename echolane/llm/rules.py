@@ -1,14 +1,21 @@
 """Quality rules: fixed rules and an isolation forest on rule statistics.
 
-A forest of random splits is grown on a bounded sample of documents. Documents whose statistics
-few splits set apart are anomalous; how anomalous a kept one may be is read off labelled rows, of
-which a bounded sample is scored: the threshold is the score that all but ``max_loss`` of the rows
-labelled good stay below. Both samples are the rows with the lowest hash of their id, so they are
-the same on every run, and only the bounded samples reach the driver. Every document is scored.
-
-Defined cases: a missing text is an empty one, which the rules reject; equal rows get equal rows;
-without labelled good rows the forest rejects nothing; an empty table gives none. ``filter_quality``
-keeps all columns, whatever their names, and decides each row by its own text.
+Every text becomes six shares: characters a word, symbols, capitals, repeated lines, repeated words
+and marks. A forest of random splits is grown on a bounded sample of rows labelled good. A split
+picks any share and any place in the range that labelled rows of both kinds span, or a quarter of it
+beyond, whether rows lie there or not, so ordinary documents end deep in crowded cells, and what differs from them in any
+share, or in an odd mix of several, leaves early into an empty one. No share has a limit of its own.
+
+How odd a kept document may be is read off labelled rows: the threshold is the score that all but
+``max_loss`` of the rows labelled good stay below. Labelled rows are dealt by a hash of their id: one
+half may be sampled for the forest, all rows of the other half set the threshold, by one aggregate of
+their scores. Only the bounded sample reaches the driver. Every document is scored.
+
+Defined cases: a missing text is an empty one, which the rules reject; equal rows get equal rows, and
+rows with the threshold's own score are kept; very long texts are counted whole; labels without an id
+or for unknown documents do nothing; of sampled rows with one id the one with the smallest counts is
+taken; without labelled good rows the forest rejects nothing; an empty table gives none.
+``filter_quality`` keeps all columns, whatever their names, and decides each row by its own text.
 """
 
 from __future__ import annotations
@@ -29,8 +36,13 @@ from .common import SPACES, map_batches, text_rows
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 
-# Rows that the forest is grown on, and labelled rows that the threshold is read off.
-SAMPLE_ROWS, LABELLED_ROWS = 8_192, 8_192
+# Labelled rows of each kind, about, that the forest is grown on. A share counts as many further
+# words of an ordinary text, so that few words or lines make no extreme one.
+SAMPLE_ROWS = 8_192
+EXTRA_WORDS, WORD_CHARS, LINE_WORDS = 20, 5, 5
+
+# How far beyond the range of labelled rows splits may lie, in such ranges.
+BEYOND = 0.25
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MARKS = "!?.,;:"
@@ -79,22 +91,10 @@ def _capitals(text: str) -> int:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """By how much each rule's soft limit is exceeded, from rows of ``statistics``.
-
-    The shares don't grow with a text's length, and all ordinary texts meet at zero.
-    """
+    """Shares that don't grow with a text's length, from rows of ``statistics``."""
     words, chars, symbols, dup_lines, repeats, capitals, marks, lines = rows.T.astype(float)
-    some, letters = np.maximum(words, 1), np.maximum(chars, 1)
-    over = {
-        "long_words": (chars / some, 10.0),
-        "short_words": (-chars / some, -3.0),
-        "symbols": (symbols / letters, 0.02),
-        "dup_lines": (dup_lines / np.maximum(lines, 1), 0.35),
-        "repeats": (repeats / some, 0.3),
-        "capitals": (capitals / letters, 0.3),
-        "marks": (marks / some, 0.35),
-    }
-    return np.column_stack([np.maximum(share - limit, 0) for share, limit in over.values()])
+    some, letters = words + EXTRA_WORDS, chars + EXTRA_WORDS * WORD_CHARS
+    return np.column_stack([letters / some, symbols / letters, dup_lines / (lines + EXTRA_WORDS / LINE_WORDS), repeats / some, capitals / letters, marks / some])
 
 
 def base_failed(rows: np.ndarray) -> np.ndarray:
@@ -120,33 +120,38 @@ class Forest:
     scale: float
 
     @classmethod
-    def grow(cls, rows: np.ndarray, trees: int = 100, rows_per_tree: int = 256, seed: int = 1) -> Forest:
+    def grow(cls, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 100, rows_per_tree: int = 1_600, height: int = 24, seed: int = 1) -> Forest:
+        """Splits lie anywhere between ``low`` and ``high``, also where there are no rows."""
         draw = np.random.default_rng(seed)
         take = min(rows_per_tree, len(rows))
-        height = max(1, math.ceil(math.log2(max(take, 2))))
-        size = 2 ** (height + 1)
-        shape = (trees, size)
-        feature, split, path = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape)
-        left, right = (np.tile(np.arange(size), (trees, 1)) for _ in range(2))
-        for tree in range(trees):
-            todo = [(0, rows[draw.choice(len(rows), take, replace=False)] if take else rows, 0)]
-            used = 1
-            while todo:
-                node, here, depth = todo.pop()
-                spread = here.max(axis=0) - here.min(axis=0) if len(here) else np.zeros(0)
-                varied = np.flatnonzero(spread)
-                if depth == height or not len(varied):
-                    path[tree, node] = depth + _average_path(len(here))
-                    continue
-                f = int(draw.choice(varied))
-                at = draw.uniform(here[:, f].min(), here[:, f].max())
-                below = here[:, f] <= at
-                feature[tree, node], split[tree, node] = f, at
-                left[tree, node], right[tree, node] = used, used + 1
-                todo += [(used, here[below], depth + 1), (used + 1, here[~below], depth + 1)]
-                used += 2
+        grown = [cls._tree(rows[draw.choice(len(rows), take, replace=False)] if take else rows, low, high, height, draw) for _ in range(trees)]
+        size = max(map(len, grown), default=1)
+        feature, split, left, right, path = (
+            np.array([[node[field] for node in tree] + [0] * (size - len(tree)) for tree in grown], kind)
+            for field, kind in enumerate([np.int64, float, np.int64, np.int64, float])
+        )
         return cls(feature, split, left, right, path, height, _average_path(take) or 1.0)
 
+    @staticmethod
+    def _tree(rows: np.ndarray, low: np.ndarray, high: np.ndarray, height: int, draw: np.random.Generator) -> list[tuple]:
+        """``feature, split, left, right, path`` of every node."""
+        nodes, todo = [()], [(0, rows, low, high, 0)]
+        while todo:
+            node, here, low, high, depth = todo.pop()
+            if depth == height or len(here) <= 1:
+                nodes[node] = (0, 0.0, node, node, depth + _average_path(len(here)))
+                continue
+            f = int(draw.integers(len(low)))
+            at = draw.uniform(low[f], high[f])
+            below = here[:, f] <= at
+            upper, lower = high.copy(), low.copy()
+            upper[f] = lower[f] = at
+            left, right = len(nodes), len(nodes) + 1
+            nodes[node] = (f, at, left, right, 0.0)
+            nodes += [(), ()]
+            todo += [(left, here[below], low, upper, depth + 1), (right, here[~below], lower, high, depth + 1)]
+        return nodes
+
     def score(self, rows: np.ndarray) -> np.ndarray:
         """From 0 to 1; the fewer splits set a row apart, the higher."""
         total, index = np.zeros(len(rows)), np.arange(len(rows))
@@ -156,7 +161,7 @@ class Forest:
                 below = rows[index, self.feature[tree, node]] <= self.split[tree, node]
                 node = np.where(below, self.left[tree, node], self.right[tree, node])
             total += self.path[tree, node]
-        return np.exp2(-total / len(self.path) / self.scale)
+        return np.exp2(-total / max(len(self.path), 1) / self.scale)
 
 
 @dataclass
@@ -174,13 +179,22 @@ class Model:
 _ALL = [*COUNTS, "capitals", "marks", "lines"]
 
 
+def _labelled(labels: DataFrame, half: int) -> DataFrame:
+    """``doc_id, good`` of one half of the labelled rows."""
+    rows = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half)
+
+
 def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> np.ndarray:
-    """Ids and statistics of the ``rows`` documents among ``ids`` with the lowest hash."""
-    key = F.xxhash64("doc_id")
-    picked = [r["doc_id"] for r in ids.where("doc_id IS NOT NULL").orderBy(key, "doc_id").limit(rows).collect()]
+    """Statistics of about ``rows`` documents among ``ids``, by a hash of the id; none of those that the base rules reject."""
+    steps = 1 << 20
+    key = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(steps))
+    share = min(1.0, rows / max(ids.count(), 1))
+    picked = [r["doc_id"] for r in ids.where(key < int(share * steps)).distinct().collect()]
     if not picked:
-        return np.zeros((0, 9))
-    texts = text_rows(docs).where(F.col("doc_id").isin(list(set(picked))))
+        return np.zeros((0, 8))
+    texts = text_rows(docs).where(F.col("doc_id").isin(picked))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -188,24 +202,33 @@ def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> np.ndarray:
             yield {"doc_id": batch.column("doc_id")} | dict(zip(_ALL, found.T))
 
     found = map_batches(texts, work, ", ".join(f"{name} long" for name in ["doc_id", *_ALL]))
-    return np.array(found.orderBy(key, *found.columns).limit(rows).collect(), dtype=float).reshape(-1, 9)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_loss: float = 0.002, sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS) -> Model:
-    """Grow the forest on documents, calibrate it on ``labels`` (``doc_id, quality``)."""
-    grown = _sample(docs, docs.select(F.col("doc_id").cast("long").alias("doc_id")), sample_rows)[:, 1:]
-    forest = Forest.grow(features(grown[~base_failed(grown)]))
-
-    def scores(quality: int) -> np.ndarray:
-        ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("long").alias("doc_id"))
-        rows = _sample(docs, ids, labelled_rows)[:, 1:]
-        return forest.score(features(rows[~base_failed(rows)]))
-
-    good, bad = scores(1), scores(0)
-    threshold = float(np.quantile(good, 1 - max_loss, method="higher")) if len(good) else math.inf
+    found = found.groupBy("doc_id").agg(F.min(F.struct(*_ALL)).alias("counts")).orderBy("doc_id")
+    counts = np.array([tuple(r["counts"]) for r in found.collect()], dtype=float).reshape(-1, 8)
+    return counts[~base_failed(counts)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_loss: float = 0.002, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Grow the forest on one half of ``labels`` (``doc_id, quality``), calibrate it on the other."""
+    half = _labelled(labels, 0)
+    good, bad = (features(_sample(docs, half.where(F.col("good") == kind).select("doc_id"), sample_rows)) for kind in (True, False))
+    if not len(good):
+        return Model(Forest.grow(good, np.zeros(6), np.ones(6), trees=0), math.inf)
+    both = np.concatenate([good, bad])
+    low, high = both.min(axis=0), both.max(axis=0)
+    beyond = (high - low) * BEYOND
+    model = Model(Forest.grow(good, low - beyond, high + beyond), math.inf)
+    # Rows are judged where they lie; only ids and scores meet the labels.
+    scored = judge(docs, model).where("NOT base_failed").select("doc_id", "score").join(_labelled(labels, 1), "doc_id")
+    accuracy = F.lit(100_000)
+    limits = scored.agg(
+        F.percentile_approx(F.when(F.col("good"), F.col("score")), 1 - max_loss, accuracy).alias("good"),
+        F.percentile_approx(F.when(~F.col("good"), F.col("score")), max_loss, accuracy).alias("bad"),
+    ).first()
+    if limits["good"] is None:
+        return model
     # Where bad rows leave room, rows that are hardly odder than good ones are kept as well.
-    low = float(np.quantile(bad, max_loss, method="lower")) if len(bad) else threshold
-    return Model(forest, max(threshold, (threshold + low) / 2))
+    least_bad = limits["good"] if limits["bad"] is None else limits["bad"]
+    return Model(model.forest, max(limits["good"], (limits["good"] + least_bad) / 2))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

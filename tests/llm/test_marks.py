@@ -178,6 +178,39 @@ def test_forest_finds_the_odd_ones_and_keeps_clean_texts(spark):
     assert not kept & {i for i, _ in bad}
 
 
+def slow_path(forest, tree, row, node=0, depth=0):
+    """Splits down to a leaf, one by one, and the mean depth of what is left there."""
+    if forest.left[tree, node] == node:
+        return forest.path[tree, node]
+    assert depth < forest.height
+    side = forest.left if row[forest.feature[tree, node]] <= forest.split[tree, node] else forest.right
+    return slow_path(forest, tree, row, side[tree, node], depth + 1)
+
+
+def test_path_lengths_against_a_plain_walk():
+    draw = np.random.default_rng(3)
+    rows = draw.normal(size=(300, 6))
+    low, high = rows.min(axis=0) - 1, rows.max(axis=0) + 5
+    forest = rules.Forest.grow(rows, low, high, trees=20, rows_per_tree=64, height=9)
+    probes = np.concatenate([rows[:40], draw.uniform(low, high, (40, 6)), [low - 9, high + 9]])
+    plain = [2 ** -(sum(slow_path(forest, t, row) for t in range(20)) / 20 / rules._average_path(64)) for row in probes]
+    assert forest.score(probes) == pytest.approx(plain)
+    assert forest.score(np.array([high + 9]))[0] > forest.score(rows).max()
+
+
+def test_kinds_of_oddness_without_labels_are_rejected(spark):
+    """No row labelled bad has capitals or marks; texts with a fourth of each go, ordinary ones stay."""
+    good, bad, labels = labelled(spark, 800)
+    rng = random.Random(2)
+    some = lambda t, share: " ".join(rng.choice([w.upper(), w + "!"]) if rng.random() < share else w for w in t.split())
+    usual = [(i, some(t, 0.08)) for i, t in good]
+    odd = [(9000 + i, some(t, 0.5)) for i, t in good[:20]]
+    docs = frame(spark, usual + bad + odd)
+    kept = {r["doc_id"] for r in rules.judge(docs, rules.fit(docs, labels)).where("kept").collect()}
+    assert len(kept & {i for i, _ in usual}) >= 0.98 * len(usual)
+    assert not kept & {i for i, _ in bad + odd}
+
+
 def test_filter_keeps_rows_as_they_are(spark):
     good, bad, labels = labelled(spark)
     docs = frame(spark, good + good[:1] + bad + [(None, good[3][1]), (7000, None)], EXTRA)
