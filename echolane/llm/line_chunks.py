@@ -1,9 +1,12 @@
 """Repeated passages, by content-defined chunks of lines.
 
-Texts are cut into pieces: lines, and inside them sentences and clauses, each with the marks that
-end it. A rolling hash over the hashes of two neighbouring pieces decides where a chunk begins, so
-boundaries depend on what stands there and move with it. Chunks of several pieces that occur more
-than once anywhere are compared by their bytes; all but the first occurrence go. A passage begins
+Texts are cut into pieces: lines, inside them sentences and clauses, each with the marks that end
+it, and inside long ones runs of words, where a hash of two neighbouring words says so. A rolling
+hash over the hashes of two neighbouring pieces decides where a chunk begins: where it is lower than
+both beside it. So boundaries depend on what stands there and move with it, a chunk has two pieces or
+more, three on average, and a passage of fifty words hardly ever lacks a whole one, however it is
+punctuated. Chunks that occur more than once anywhere are compared by their bytes; all but the first
+occurrence go. A passage begins
 and ends inside chunks that it shares with its surroundings, so a removed chunk also takes those
 pieces before and after it that stand in the same order beside the first occurrence.
 
@@ -20,6 +23,8 @@ may have any names but those that begin with ``__``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +36,10 @@ ENDS = ["\n", ". ", "! ", "? ", ", ", "; ", ": "]
 PIECE_END = r"(?<=\n)|(?<=[.!?,;:]\x20)"
 SIGN = "\x01"
 
-# One boundary in ``SPREAD`` places; least pieces and characters of a chunk that may go.
-SPREAD, MIN_PIECES, MIN_CHARS = 2, 2, 40
+# Pieces with more characters are cut further, at one in ``WORDS`` places between words; least pieces
+# and characters of a chunk that may go; pieces beside a chunk that may go with it, more than the few
+# in a row whose chunks are too short or end elsewhere.
+LONG, WORDS, MIN_PIECES, MIN_CHARS, BESIDE = 40, 4, 2, 40, 12
 
 _LAST = (1 << 63) - 1
 _KEYS = ["__id", "__place"]
@@ -50,7 +57,32 @@ def pieces(text: Column) -> Column:
     for end in ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + SIGN))
     cut = F.when(F.contains(text, F.lit(SIGN)), F.split(text, PIECE_END, -1)).otherwise(F.split(marked, SIGN, -1))
-    return F.filter(cut, lambda p: p != "")
+    parts = F.flatten(F.transform(cut, lambda p: F.when(F.length(_trimmed(p)) > LONG, _cut_words(p)).otherwise(F.array(p))))
+    return F.filter(parts, lambda p: p != "")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _cut_words(piece: Column) -> Column:
+    """Runs of words with the space that ends them; put together, they are the piece."""
+
+    def at_starts(words: Column) -> Column:
+        begins = F.transform(words, lambda w, i: F.when((i == 0) | (F.pmod(F.xxhash64(F.get(words, i - 1), w), F.lit(WORDS)) == 0), i))
+        return _bound(F.filter(begins, lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda s, k: run(words, s, F.get(starts, k + 1))))
+
+    def run(words: Column, start: Column, end: Column) -> Column:
+        here = F.array_join(F.slice(words, start + 1, F.coalesce(end, F.size(words)) - start), " ")
+        return F.concat(here, F.when(end.isNull(), F.substr(piece, F.length(_trimmed(piece)) + 1)).otherwise(F.lit(" ")))
+
+    return _bound(F.split(_trimmed(piece), " ", -1), at_starts)
+
+
+def _trimmed(piece: Column) -> Column:
+    """Without what parts it from the next one, so that the end of a line is like one inside it."""
+    return F.rtrim(piece, F.lit(" \n"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -58,20 +90,27 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _starts(hashes: Column) -> Column:
-    """Places where chunks begin."""
+def _pairs(hashes: Column) -> Column:
+    """Rolling hashes of two neighbours."""
     after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
-    begins = F.zip_with(F.slice(hashes, F.lit(1), F.size(after)), after, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(SPREAD)) == 0)
-    places = F.filter(F.transform(begins, lambda b, i: F.when(b, i + 1)), lambda i: i.isNotNull())
+    return F.zip_with(F.slice(hashes, F.lit(1), F.size(after)), after, lambda x, y: F.xxhash64(x, y))
+
+
+def _starts(pairs: Column) -> Column:
+    """Places where chunks begin: the second pieces of pairs below their neighbours, and the first piece."""
+    most = F.lit(_LAST)
+    lowest = lambda h, i: (h < F.coalesce(F.get(pairs, i - 1), most)) & (h <= F.coalesce(F.get(pairs, i + 1), most))
+    places = F.filter(F.transform(pairs, lambda h, i: F.when(lowest(h, i), i + 1)), lambda i: i.isNotNull())
     return F.concat(F.array(F.lit(0)), places)
 
 
 def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
     """Adds ``__pieces`` trimmed, ``__hashes``, and ``__starts`` with the number of pieces at the end."""
-    trimmed = F.transform(pieces(F.col("text")), lambda p: F.rtrim(p, F.lit(" \n")))
+    trimmed = F.transform(pieces(F.col("text")), _trimmed)
     rows = _once(keyed, "__pieces", trimmed).select(*_KEYS, *more, "__pieces")
     rows = _once(rows, "__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
-    return _once(rows, "__starts", F.concat(_starts(F.col("__hashes")), F.array(F.size("__hashes"))))
+    rows = _once(rows, "__pairs", _pairs(F.col("__hashes")))
+    return _once(rows, "__starts", F.concat(_starts(F.col("__pairs")), F.array(F.size("__hashes")))).drop("__pairs")
 
 
 def _spans() -> Column:
@@ -96,11 +135,10 @@ def _repeated(keyed: DataFrame) -> DataFrame:
 
 
 def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """Repeated chunks with their bytes and the hashes of the pieces beside them, up to the far end of the next chunks of several pieces."""
-    rows = _once(_chunked(keyed.join(spans, _KEYS), "doc_id", "spans"), "__spans", _spans()).withColumn("c", F.explode("spans"))
-    at, end, size = F.col("c.at"), F.col("c.at") + F.col("c.size"), F.size("__hashes")
-    before = F.coalesce(F.array_max(F.transform(F.filter("__spans", lambda s: s["at"] < at), lambda s: s["at"])), F.lit(0))
-    after = F.coalesce(F.array_min(F.transform(F.filter("__spans", lambda s: s["at"] >= end), lambda s: s["at"] + s["size"])), size)
+    """Repeated chunks with their bytes and the hashes of ``BESIDE`` pieces on both sides."""
+    rows = _chunked(keyed.join(spans, _KEYS), "doc_id", "spans").withColumn("c", F.explode("spans"))
+    at, end = F.col("c.at"), F.col("c.at") + F.col("c.size")
+    before, after = F.greatest(at - BESIDE, F.lit(0)), F.least(end + BESIDE, F.size("__hashes"))
     rows = rows.select(
         *_KEYS,
         F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "__place", at.alias("at")).alias("order"),

@@ -1,6 +1,7 @@
 """Fingerprints, anchors, components, repeated passages and leaks."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from echolane.llm import decontaminate, line_chunks, simhash
 
-from .cases import EXTRA, PLAIN, ROWS, frame
+from .cases import EXTRA, LONG, PLAIN, ROWS, frame
 
 
 def slow_bits(text, k):
@@ -141,6 +142,9 @@ def test_no_documents(spark):
     assert leaks.count() == 0
 
 
+LONG_LINE = " ".join(f"w{i * i % 9973}" for i in range(2000))
+
+
 def sentences(rng, n):
     return [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(rng.randint(4, 12))) + rng.choice(".,!") for _ in range(n)]
 
@@ -178,14 +182,52 @@ def test_passages_are_caught_and_clean_texts_left_alone(spark):
     assert caught >= 0.85 * copies
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 4, 6, 9, 12])
+def test_passages_of_sixty_words_are_caught_however_punctuated(spark, parts):
+    rng = random.Random(parts)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    docs, n = [], 100
+    for i in range(n):
+        words = [word() for _ in range(60)]
+        passage = " ".join(w + (rng.choice(",.;") if (k + 1) % (60 // parts) == 0 else "") for k, w in enumerate(words))
+        for copy in range(2):
+            around = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(2)]
+            docs.append((2 * i + copy, around[0] + rng.choice([" ", "\n", ". "]) + passage + rng.choice([" ", "\n"]) + around[1]))
+    lost = {r["doc_id"]: r["removed_chars"] for r in line_chunks.repeated_passages(frame(spark, docs)).collect()}
+    assert not any(lost[2 * i] for i in range(n))
+    assert sum(lost[2 * i + 1] > 0 for i in range(n)) >= 95
+
+
+def slow_pieces(text):
+    """Marks, then words inside long pieces; the hash of two words is Spark's."""
+    return [p for p in re.split(r"(?<=\n)|(?<=[.!?,;:] )", text) if p]
+
+
+def test_long_pieces_are_cut_between_words_only(spark):
+    texts = [LONG_LINE, "x" * 500, "a " * 300, " " * 90, "one two \x01 three " * 9, "word, " * 30 + "\n" + "é ü " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_chunks.pieces(F.col("t")).alias("p"))
+    for r in df.collect():
+        assert "".join(r["p"]) == r["t"]
+        ends = {i for i, c in enumerate(r["t"], 1) if c in " \n"} | {len(r["t"])}
+        at = 0
+        for piece in r["p"]:
+            at += len(piece)
+            assert at in ends
+        assert {sum(map(len, slow_pieces(r["t"])[: k + 1])) for k in range(len(slow_pieces(r["t"])))} <= {sum(map(len, r["p"][: k + 1])) for k in range(len(r["p"]))}
+    assert max(map(len, df.first()["p"])) < 300
+
+
 def test_awkward_rows_keep_their_columns(spark):
     docs = frame(spark, extra=EXTRA)
     clean = line_chunks.drop_repeats(docs)
     assert clean.columns == docs.columns and clean.count() == len(ROWS)
     texts = sorted(((str(r["doc_id"]), r["text"]) for r in clean.collect()), key=str)
-    # The copy in 7 goes, in both equal rows; all others are as they were.
-    kept = sorted(((str(i), t) for i, t in ROWS if i != 7), key=str)
-    assert [t for t in texts if t[0] != "7"] == kept
+    # The copy in 7 goes, in both equal rows; all others are as they were, but 5, one line that repeats
+    # its first 997 pairs of words thirty times.
+    kept = sorted(((str(i), t) for i, t in ROWS if i not in (5, 7)), key=str)
+    assert [t for t in texts if t[0] not in ("5", "7")] == kept
+    (line,) = [t for i, t in texts if i == "5"]
+    assert line.startswith(" ".join(f"word{i} and" for i in range(997))) and len(line) < len(LONG) / 20
     sevens = [t for i, t in texts if i == "7"]
     assert len(sevens) == 2 and sevens[0] == sevens[1] and len(sevens[0]) < len(ROWS[0][1])
 
