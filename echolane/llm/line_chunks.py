@@ -114,10 +114,11 @@ def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
 
 
 def _spans() -> Column:
-    """``at, size`` of chunks of several pieces."""
+    """``at, size`` of chunks of several pieces and enough characters."""
     ends = F.slice("__starts", F.lit(2), F.size("__starts") - 1)
     spans = F.zip_with(F.slice("__starts", F.lit(1), F.size(ends)), ends, lambda s, e: F.struct(s.alias("at"), (e - s).alias("size")))
-    return F.filter(spans, lambda s: s["size"] >= MIN_PIECES)
+    chars = lambda s: F.aggregate(F.slice("__pieces", s["at"] + 1, s["size"]), s["size"] - 1, lambda n, p: n + F.length(p))
+    return F.filter(spans, lambda s: (s["size"] >= MIN_PIECES) & (chars(s) >= MIN_CHARS))
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     rows = _chunked(keyed.join(spans, _KEYS), "doc_id", "spans").withColumn("c", F.explode("spans"))
     at, end = F.col("c.at"), F.col("c.at") + F.col("c.size")
     before, after = F.greatest(at - BESIDE, F.lit(0)), F.least(end + BESIDE, F.size("__hashes"))
-    rows = rows.select(
+    return rows.select(
         *_KEYS,
         F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "__place", at.alias("at")).alias("order"),
         at.alias("at"),
@@ -149,7 +150,6 @@ def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
         F.reverse(F.slice("__hashes", before + 1, at - before)).alias("before"),
         F.slice("__hashes", end + 1, after - end).alias("after"),
     )
-    return rows.where(F.length("bytes") >= MIN_CHARS)
 
 
 def _same_from_start(left: str, right: str) -> Column:
