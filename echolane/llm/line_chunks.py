@@ -1,23 +1,24 @@
 """Repeated passages, by content-defined chunks of lines.
 
 Texts are cut into pieces: lines, inside them sentences and clauses, each with the marks that end
-it, and inside long ones runs of words, where a hash of two neighbouring words says so. A rolling
+it, and inside those runs of words, which end after longer words with certain last letters. A rolling
 hash over the hashes of two neighbouring pieces decides where a chunk begins: where it is lower than
 both beside it. So boundaries depend on what stands there and move with it, a chunk has two pieces or
 more, three on average, and a passage of fifty words hardly ever lacks a whole one, however it is
-punctuated. Chunks that occur more than once anywhere are compared by their bytes; all but the first
-occurrence go. A passage begins
-and ends inside chunks that it shares with its surroundings, so a removed chunk also takes those
-pieces before and after it that stand in the same order beside the first occurrence.
+punctuated. Chunks that occur more than once anywhere are compared by their bytes with the first
+occurrence; all others that equal it go. A passage begins and ends inside chunks that it shares with
+its surroundings, so a removed chunk also takes those pieces before and after it that stand in the
+same order beside the first occurrence.
 
-Only hashes of chunks meet in a shuffle; the bytes of those that repeat follow. Hot chunks are
+Only hashes of chunks meet in a shuffle; the bytes of those that repeat follow, once. Hot chunks are
 counted before the shuffle, and what joins them to their first occurrence are plain joins, whose
 skewed keys Spark splits.
 
 Defined cases: a missing text is an empty one and stays as it is where nothing is removed; of
 equal rows none is taken for a copy of the other, they get equal rows; of equal chunks the one in
 the document with the smallest id is the first (missing ids come last), then the one with the
-smallest place; a text of which all goes is empty. Extra columns are kept by ``drop_repeats`` and
+smallest place; other bytes under the hash of a first chunk stay; words that no letter rule parts
+are one piece, which alone is no chunk; a text of which all goes is empty. Extra columns are kept by ``drop_repeats`` and
 may have any names but those that begin with ``__``.
 """
 
@@ -28,18 +29,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-# Where pieces end: after a line break, and after a mark and a space. A sign that texts hardly ever
-# hold marks these places; a text that holds it is cut by the pattern instead.
-ENDS = ["\n", ". ", "! ", "? ", ", ", "; ", ": "]
-PIECE_END = r"(?<=\n)|(?<=[.!?,;:]\x20)"
-SIGN = "\x01"
 
-# Pieces with more characters are cut further, at one in ``WORDS`` places between words; least pieces
-# and characters of a chunk that may go; pieces beside a chunk that may go with it, more than the few
-# in a row whose chunks are too short or end elsewhere.
-LONG, WORDS, MIN_PIECES, MIN_CHARS, BESIDE = 40, 4, 2, 40, 12
+# Every second letter or digit, beyond Latin every second block of 32 characters.
+HALF = "".join(chr(c) for c in (*range(0x30, 0x3A, 2), *range(0x42, 0x5B, 2), *range(0x62, 0x7B, 2), *range(0xC0, 0x100, 2)))
+HALF += "".join(f"\\x{{{a:x}}}-\\x{{{a + 31:x}}}" for a in range(0x100, 0x1000, 64)) + r"\x{ac00}-\x{c1ff}"
+
+# Where pieces end: after a line break, after a mark and a space, and after a word of four characters or
+# more whose last one is of that half.
+PIECE_END = r"(?<=[\x20\n])(?!\z)(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=[^\x20\n]{3}[%s]\x20)(?!\x20))" % HALF
+
+# Least pieces and characters of a chunk that may go; pieces beside a chunk that may go with it, more
+# than the few in a row whose chunks are too short or end elsewhere.
+MIN_PIECES, MIN_CHARS, BESIDE = 2, 40, 12
 
 _LAST = (1 << 63) - 1
 _KEYS = ["__id", "__place"]
@@ -52,32 +55,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def pieces(text: Column) -> Column:
     """Put together, they are the text."""
-    text = F.coalesce(text, F.lit(""))
-    marked = text
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + SIGN))
-    cut = F.when(F.contains(text, F.lit(SIGN)), F.split(text, PIECE_END, -1)).otherwise(F.split(marked, SIGN, -1))
-    parts = F.flatten(F.transform(cut, lambda p: F.when(F.length(_trimmed(p)) > LONG, _cut_words(p)).otherwise(F.array(p))))
-    return F.filter(parts, lambda p: p != "")
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, inside a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _cut_words(piece: Column) -> Column:
-    """Runs of words with the space that ends them; put together, they are the piece."""
-
-    def at_starts(words: Column) -> Column:
-        begins = F.transform(words, lambda w, i: F.when((i == 0) | (F.pmod(F.xxhash64(F.get(words, i - 1), w), F.lit(WORDS)) == 0), i))
-        return _bound(F.filter(begins, lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda s, k: run(words, s, F.get(starts, k + 1))))
-
-    def run(words: Column, start: Column, end: Column) -> Column:
-        here = F.array_join(F.slice(words, start + 1, F.coalesce(end, F.size(words)) - start), " ")
-        return F.concat(here, F.when(end.isNull(), F.substr(piece, F.length(_trimmed(piece)) + 1)).otherwise(F.lit(" ")))
-
-    return _bound(F.split(_trimmed(piece), " ", -1), at_starts)
+    return F.when(F.length(text) > 0, F.split(text, PIECE_END, -1)).otherwise(F.array().cast("array<string>"))
 
 
 def _trimmed(piece: Column) -> Column:
@@ -128,24 +106,25 @@ def _chunks(rows: DataFrame) -> DataFrame:
     return rows.select(*_KEYS, F.explode(hashed).alias("c")).select(*_KEYS, "c.at", "c.size", "c.hash")
 
 
-def _repeated(keyed: DataFrame) -> DataFrame:
-    """``__id, __place, spans``: the chunks of each document whose hash occurs more than once."""
-    chunks = materialise(_chunks(_chunked(keyed)), "chunks")
-    often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return chunks.join(often, "hash", "left_semi").groupBy(*_KEYS).agg(F.collect_set(F.struct("at", "size", "hash")).alias("spans"))
+def _repeated(chunks: DataFrame) -> DataFrame:
+    """``__id, __place, spans``: the chunks of each document whose hash occurs more than once, and whether as the first."""
+    order = F.struct(*_KEYS, "at")
+    often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").drop("n")
+    spans = chunks.join(often, "hash").select(*_KEYS, F.struct("at", "size", "hash", (order == F.col("first")).alias("first")).alias("span"))
+    return spans.groupBy(*_KEYS).agg(F.collect_set("span").alias("spans"))
 
 
 def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """Repeated chunks with their bytes and the hashes of ``BESIDE`` pieces on both sides."""
-    rows = _chunked(keyed.join(spans, _KEYS), "doc_id", "spans").withColumn("c", F.explode("spans"))
+    rows = _chunked(keyed.join(spans, _KEYS), "spans").withColumn("c", F.explode("spans"))
     at, end = F.col("c.at"), F.col("c.at") + F.col("c.size")
     before, after = F.greatest(at - BESIDE, F.lit(0)), F.least(end + BESIDE, F.size("__hashes"))
     return rows.select(
         *_KEYS,
-        F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "__place", at.alias("at")).alias("order"),
         at.alias("at"),
         F.col("c.size").alias("size"),
         F.col("c.hash").alias("hash"),
+        F.col("c.first").alias("first"),
         F.array_join(F.slice("__pieces", at + 1, F.col("c.size")), "\n").alias("bytes"),
         F.reverse(F.slice("__hashes", before + 1, at - before)).alias("before"),
         F.slice("__hashes", end + 1, after - end).alias("after"),
@@ -163,10 +142,13 @@ def removed_pieces(docs: DataFrame) -> DataFrame:
 
 
 def _gone(keyed: DataFrame) -> DataFrame:
-    rows = _candidates(keyed, _repeated(keyed))
-    first = rows.groupBy("hash", "bytes").agg(F.min("order").alias("first"), F.min_by(F.struct("before", "after"), "order").alias("beside"))
-    copies = rows.join(first, ["hash", "bytes"]).where(F.col("order") != F.col("first"))
-    copies = copies.withColumns({"first_before": F.col("beside.before"), "first_after": F.col("beside.after")})
+    chunks = materialise(_chunks(_chunked(keyed)), "chunks")
+    rows = materialise(_candidates(keyed, _repeated(chunks)), "candidates")
+    discard(chunks)
+    # Equal rows give the same first chunk more than once.
+    beside = [F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "after")]
+    first = rows.where("first").groupBy("hash").agg(F.any_value(F.struct(*beside)).alias("f")).select("hash", "f.*")
+    copies = rows.where("not first").join(first, "hash").where(F.col("bytes") == F.col("first_bytes"))
     begin = F.col("at") - _same_from_start("before", "first_before")
     end = F.col("at") + F.col("size") + _same_from_start("after", "first_after")
     spans = copies.select(*_KEYS, F.sequence(begin, end - 1).alias("numbers"))
