@@ -36,10 +36,10 @@ from .common import discard, materialise
 HALF = "".join(chr(c) for c in (*range(0x30, 0x3A, 2), *range(0x42, 0x5B, 2), *range(0x62, 0x7B, 2), *range(0xC0, 0x100, 2)))
 HALF += "".join(f"\\x{{{a:x}}}-\\x{{{a + 31:x}}}" for a in range(0x100, 0x1000, 64)) + r"\x{ac00}-\x{c1ff}"
 
-# Where pieces end: after a line break, after a mark and a space, and after a word of four characters or
+# Where pieces end: after a line break, after a mark and a space, and after a word of five characters or
 # more whose last one is of that half. A sign that texts hardly ever hold marks these places, which is
 # faster than a pattern without width; a text that holds the sign is cut by such a pattern instead.
-AFTER = r"(?!\z)(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=[^\x20\n]{3}[%s]\x20)(?!\x20))" % HALF
+AFTER = r"(?!\z)(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=[^\x20\n]{4}[%s]\x20)(?!\x20))" % HALF
 SIGN = "\x01"
 
 # Least pieces and characters of a chunk that may go; pieces beside a chunk that may go with it, more
@@ -113,8 +113,10 @@ def _chunks(rows: DataFrame) -> DataFrame:
 def _repeated(chunks: DataFrame) -> DataFrame:
     """``__id, __place, spans``: the chunks of each document whose hash occurs more than once, and whether as the first."""
     order = F.struct(*_KEYS, "at")
-    often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").drop("n")
-    spans = chunks.join(often, "hash").select(*_KEYS, F.struct("at", "size", "hash", (order == F.col("first")).alias("first")).alias("span"))
+    often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    twice = chunks.join(often, "hash", "left_semi")
+    first = twice.groupBy("hash").agg(F.min(order).alias("first"))
+    spans = twice.join(first, "hash").select(*_KEYS, F.struct("at", "size", "hash", (order == F.col("first")).alias("first")).alias("span"))
     return spans.groupBy(*_KEYS).agg(F.collect_set("span").alias("spans"))
 
 
