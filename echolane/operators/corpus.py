@@ -112,14 +112,36 @@ def match(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> Dat
 
 def forward_pairs(sentences: DataFrame, window: int, tokens: str = "tokens") -> DataFrame:
     """Each word with the words up to ``window`` places after it, as ``left, right``."""
-    words, size = F.col(tokens), F.size(tokens)
-    pairs = F.concat(*[_shifted(words, size, gap) for gap in range(1, window + 1)])
     others = [c for c in sentences.columns if c != tokens]
-    return sentences.select(*others, F.explode(pairs).alias("pair")).select(
+    return sentences.select(*others, F.explode(_ahead(window, tokens)).alias("pair")).select(
         *others, F.col("pair.left").alias("left"), F.col("pair.right").alias("right")
     )
 
 
+def _ahead(window: int, tokens: str) -> Column:
+    words, size = F.col(tokens), F.size(tokens)
+    return F.concat(*[_shifted(words, size, gap) for gap in range(1, window + 1)])
+
+
+def pair_figures(sentences: DataFrame, window: int, tokens: str = "tokens") -> DataFrame:
+    """The ``context_pairs`` of each sentence as figures: ``pairs, repeats, first_center, last_context``.
+
+    They are added up inside the sentence, so that no pair becomes a row: least and greatest words
+    of rows would be found by a sort of all pairs. Sentences without a pair go.
+    """
+    others = [c for c in sentences.columns if c != tokens]
+    rows = sentences.where(F.size(tokens) > 1).select(*others, _ahead(window, tokens).alias("__pairs"))
+    # Both words of a pair are center and context, once each.
+    words = F.concat("__pairs.left", "__pairs.right")
+    return rows.select(
+        *others,
+        (2 * F.size("__pairs")).cast("long").alias("pairs"),
+        (2 * F.size(F.filter("__pairs", lambda p: p["left"] == p["right"]))).cast("long").alias("repeats"),
+        F.array_min(words).alias("first_center"),
+        F.array_max(words).alias("last_context"),
+    )
+
+
 def _shifted(words: Column, size: Column, gap: int) -> Column:
     count = F.greatest(size - gap, F.lit(0))
     start = F.least(F.lit(gap + 1), size)

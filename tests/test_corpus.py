@@ -95,3 +95,16 @@ def test_the_cleaning_appears_once_in_the_plan(spark, capsys):
     rows = spark.createDataFrame([("a b",)], "line string").where(F.length("line") > 0)
     C.tokenize(rows).explain()
     assert capsys.readouterr().out.count("split(") == 1
+
+
+def test_pair_figures_need_no_row_per_pair(spark):
+    rows = [(1, ["b", "a", "b", "c", "a"]), (1, ["d"]), (2, ["e", "e"]), (3, ["x"]), (5, ["p", "q", "r", "p", "s", "p"])]
+    lines = spark.createDataFrame(rows, "doc int, tokens array<string>")
+    figures = C.pair_figures(lines, 4)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    pairs = C.context_pairs(lines, 4).groupBy("doc").agg(
+        F.count("*"), F.count_if(F.col("center") == F.col("context")), F.min("center"), F.max("context")
+    )
+    got = figures.groupBy("doc").agg(F.sum("pairs"), F.sum("repeats"), F.min("first_center"), F.max("last_context"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and got.count() == 3
