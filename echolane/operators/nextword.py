@@ -102,11 +102,13 @@ def generate(
     with the end mark or where no choice is left. All sentences advance together.
     """
     choices = materialise(_choice_lists(model, end_id, n), "choices")
+    # A look-up beyond the head reads its rows twice, so steps in one plan would double them each time.
+    stage = STEPS_PER_STAGE if choices.where("NOT __head").isEmpty() else 1
     running = primes.select(*key, F.array("prime").alias("ids"), F.col("prime").alias("last"))
     finished: list[DataFrame] = []
     for step in range(steps):
         running = _advance(running, key, choices, end_id, seed, step)
-        if (step + 1) % STEPS_PER_STAGE == 0 or step + 1 == steps:
+        if (step + 1) % stage == 0 or step + 1 == steps:
             saved = materialise(running, "sentences")
             finished.append(saved.where("last is null").select(*key, "ids"))
             running = saved.where("last is not null")

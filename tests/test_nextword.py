@@ -103,3 +103,16 @@ def test_the_model_reads_whole_sentences(spark):
     known = vocab.where("freq IS NOT NULL").agg(F.sum("freq")).first()[0]
     assert model.where("order = 1").agg(F.sum("n")).first()[0] == known
     assert sentences.agg(F.max(F.size("ids"))).first()[0] > 22
+
+
+def test_rows_beyond_the_head_are_not_doubled_by_every_step(spark, monkeypatch):
+    model = N.ngram_model(sequences(spark), 2)
+    primes = spark.range(50).select("id", (F.col("id") % 8 + 1).alias("prime"))
+    want = sorted(map(tuple, N.generate(primes, ["id"], model, END, seed=3).collect()))
+    written = []
+    kept = N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, name: written.append(df) or kept(df, name))
+    monkeypatch.setattr(N, "HEAD_WORDS", 2)
+    assert sorted(map(tuple, N.generate(primes, ["id"], model, END, seed=3).collect())) == want
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in written[1:]]
+    assert max(joins) <= 3
