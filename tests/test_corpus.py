@@ -108,3 +108,17 @@ def test_pair_figures_need_no_row_per_pair(spark):
     )
     got = figures.groupBy("doc").agg(F.sum("pairs"), F.sum("repeats"), F.min("first_center"), F.max("last_context"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and got.count() == 3
+
+
+def test_pairs_are_formed_once_beyond_the_head(spark, monkeypatch):
+    lists = [["a", "b", "c", "a", "d", "?"], ["d", "d", "c"], ["?", "e"], ["e", "a", "e", "b"] * 3]
+    rows, known = sentences(spark, *lists), vocab(spark, [(word, i + 1, 9 - i) for i, word in enumerate("abcde")] + [("!", 6, None)])
+    want = sorted(map(tuple, C.pair_counts(rows, 3, known).collect()))
+    written = []
+    kept = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, name: written.append(df) or kept(df, name))
+    for head in (1, 2, 4):
+        monkeypatch.setattr(C, "HEAD_WORDS", head)
+        assert sorted(map(tuple, C.pair_counts(rows, 3, known).collect())) == want
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    assert len(plans) == 3 and all(plan.count("Generate") == 1 for plan in plans)
