@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
 from ..session import materialise
-from .order import top_n, with_index
+from .order import with_index
 
 # A vocabulary lookup broadcasts at most this many words; the rest is joined by shuffle.
 HEAD_WORDS = 500_000
 
+# An id stands in so many bits below its place in the sentence.
+_ID_BITS = 33
+
 # Longest sequence, shortest sequence, filler id.
 MAX_LENGTH, MIN_LENGTH, PAD = 21, 3, 0
 
@@ -218,14 +230,74 @@ def encode(
 ) -> DataFrame:
     """Ids of the known words of each sentence, in order: ``key…, ids``.
 
-    Where only the ``first`` known words are wanted, the others are cut before the shuffle.
+    Frequent words are looked up inside the sentence, so that no word becomes a row and a sentence
+    stays where it is. Only words beyond the head travel, to the rare words of the vocabulary and back
+    to their sentence, and rows whose key comes more than once, which are merged: place and id of a
+    word are one number, which puts them in order. Where only the ``first`` known words are
+    wanted, the others are cut before the shuffle.
     """
-    words = sentences.select(*key, F.posexplode(tokens).alias("__pos", "__word"))
-    known = lookup(words, vocab, "__word", "__id")
-    if first is not None:
-        known = top_n(known, key, [F.col("__pos").asc()], first)
-    packed = known.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__pos", "__id"))).alias("__packed"))
-    return packed.select(*key, F.col("__packed.__id").alias("ids"))
+    marked = vocab.select("word", "id", in_head(vocab))
+    tail = marked.where("NOT __head").select(F.col("word").alias("__word"), F.col("id").alias("__id"))
+    head = sentences.sparkSession.sparkContext.broadcast(marked.where("__head").select("word", "id").toArrow())
+    words = sentences.select(*key, F.col(tokens).alias("__tokens"))
+    rest = K.ArrayType(K.StructType().add("at", K.IntegerType()).add("word", K.StringType()))
+    schema = K.StructType([words.schema[c] for c in key]).add("__known", K.ArrayType(K.LongType())).add("__rest", rest)
+    whole = tail.isEmpty()
+    known = words.mapInArrow(_coder(head, first, not whole), schema)
+    if not whole:
+        known = materialise(known, "coded")
+    repeated = sentences.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    repeated = materialise(repeated.select(*[F.col(c).alias(f"__{c}") for c in key]), "repeated")
+    complete = F.size("__rest") == 0
+    parts = []
+    if not repeated.isEmpty():
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+        parts.append(known.join(repeated, same, "left_semi"))
+        known = known.join(repeated, same, "left_anti")
+    alone = known.where(complete).select(*key, F.col("__known").alias("ids"))
+    if not whole:
+        parts.append(known.where(~complete))
+    if parts:
+        apart = reduce(DataFrame.unionByName, parts)
+        rare = apart.select(*key, F.inline("__rest").alias("__at", "__word")).join(tail, "__word")
+        placed = F.shiftleft(F.col("__at").cast("long"), _ID_BITS).bitwiseOR(F.col("__id"))
+        apart = apart.select(*key, "__known").unionByName(rare.select(*key, F.array(placed).alias("__known")))
+        merged = apart.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("__known"))).alias("ids"))
+        alone = alone.unionByName(merged if first is None else merged.withColumn("ids", F.slice("ids", 1, first)))
+    return alone.where(F.size("ids") > 0).withColumn("ids", F.transform("ids", lambda x: x.bitwiseAND((1 << _ID_BITS) - 1)))
+
+
+def _coder(head: Broadcast, first: int | None, with_rest: bool) -> Callable:
+    """Batches of ``key…, __tokens`` with the places and ids of frequent words, and the other words if asked for."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = head.value["word"].combine_chunks(), head.value["id"].to_numpy()
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+            found = pc.fill_null(pc.index_in(flat, value_set=words, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+            known = found >= 0
+            wanted = np.ones(len(row), bool)
+            if first is not None:
+                before = np.cumsum(known) - known
+                wanted = before - before[np.searchsorted(row, row)] < first
+            mine = known & wanted
+            columns = [*batch.columns[:-1], _lists(row[mine], len(sizes), pa.array((at[mine] << _ID_BITS) | ids[found[mine]]))]
+            others = ~known & wanted & with_rest
+            rest = pa.StructArray.from_arrays([pa.array(at[others].astype(np.int32)), flat.filter(pa.array(others))], ["at", "word"])
+            columns.append(_lists(row[others], len(sizes), rest))
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "__known", "__rest"])
+
+    return work
+
+
+def _lists(row: np.ndarray, rows: int, values: pa.Array) -> pa.ListArray:
+    """One list per row of the values that name it, which stand in order."""
+    ends = np.cumsum(np.bincount(row, minlength=rows))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
 
 
 def sentence_text(sequences: DataFrame, key: list[str], vocab: DataFrame, ids: str = "ids") -> DataFrame:
