@@ -19,43 +19,67 @@ CHOICES, STEPS, OPEN_STEPS = 3, 20, 4
 STEPS_PER_STAGE = 5
 
 
+def _steps(sequences: DataFrame, order: int, ids: str = "ids") -> DataFrame:
+    """Every word ``next`` that has ``order`` words before it, with these as numbers ``w{order} … w1``, oldest first."""
+    kept = sequences.select(*[c for c in sequences.columns if c != ids], F.array_remove(ids, 0).alias(ids))
+    count = F.greatest(F.size(ids) - order, F.lit(0))
+    names = [*_context(order), "next"]
+    zipped = F.arrays_zip(*[F.slice(ids, i + 1, count).alias(name) for i, name in enumerate(names)])
+    return kept.select(*[c for c in kept.columns if c != ids], F.inline(zipped).alias(*names))
+
+
+def _context(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order, 0, -1)]
+
+
+def _named(order: int) -> list[Column]:
+    """``order, context``: the ids as text, oldest first."""
+    return [F.lit(order).alias("order"), F.concat_ws(" ", *[F.col(w).cast("string") for w in _context(order)]).alias("context")]
+
+
 def transitions(sequences: DataFrame, n: int, ids: str = "ids") -> DataFrame:
     """Every word with the up to ``n - 1`` words before it: ``order, context, next``.
 
     ``context`` holds the ids as text, oldest first. The filler id 0 takes no part.
     """
-    kept = sequences.select(*[c for c in sequences.columns if c != ids], F.array_remove(ids, 0).alias(ids))
-    size = F.size(ids)
-    back = [
-        F.concat(
-            F.array_repeat(F.lit(None).cast("long"), j - 1),
-            F.slice(ids, 1, F.greatest(size - j, F.lit(0))),
-        ).alias(f"w{j}")
-        for j in range(1, n)
-    ]
-    ahead = F.slice(ids, 2, size).alias("next")
-    others = [c for c in kept.columns if c != ids]
-    grams = kept.select(*others, F.explode(F.arrays_zip(ahead, *back)).alias("g")).where("g.next is not null")
-    contexts = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("order"),
-                F.col(f"g.w{j}").alias("oldest"),
-                F.concat_ws(" ", *[F.col(f"g.w{i}").cast("string") for i in range(j, 0, -1)]).alias("context"),
-            )
-            for j in range(1, n)
-        ]
-    )
-    rows = grams.select(*others, F.col("g.next").alias("next"), F.inline(contexts))
-    return rows.where("oldest is not null").select(*others, "order", "context", "next")
+    others = [c for c in sequences.columns if c != ids]
+    return reduce(DataFrame.unionByName, [_steps(sequences, j, ids).select(*others, *_named(j), "next") for j in range(1, n)])
+
+
+def _counts(sequences: DataFrame, order: int, ids: str = "ids") -> DataFrame:
+    """How often each word follows each context: ``w{order} … w1, next, n``.
+
+    Numbers travel, not text. Contexts of several words repeat too little to be added up before they
+    travel, so these go straight to the place of their context, where all that follows needs no
+    shuffle. The steps of one word, some very frequent, are added up first.
+    """
+    steps = _steps(sequences.select(ids), order, ids)
+    if order > 1:
+        steps = steps.repartition(*_context(order))
+    return _counted(steps, order)
+
+
+def _counted(steps: DataFrame, order: int) -> DataFrame:
+    return steps.groupBy(*_context(order), "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngram_model(sequences: DataFrame, n: int = 3, ids: str = "ids") -> DataFrame:
     """``order, context, next, n, total, p``: counts and share of each word after a context."""
-    counts = transitions(sequences.select(ids), n, ids).groupBy("order", "context", "next")
-    counts = counts.agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("order", "context").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["order", "context"]).withColumn("p", F.col("n") / F.col("total"))
+    parts = [_with_total(_counts(sequences, order, ids), order) for order in range(2, n)]
+    if n > 1:
+        # What a frequent word is followed by is spread; its total is a row of a table of fixed size.
+        steps = _steps(sequences.select(ids), 1, ids)
+        frequent, seldom = steps.where(F.col("w1") <= HEAD_WORDS), steps.where(F.col("w1") > HEAD_WORDS)
+        totals = frequent.groupBy("w1").agg(F.count(F.lit(1)).alias("total"))
+        parts.append(_counted(frequent, 1).join(F.broadcast(totals), "w1"))
+        parts.append(_with_total(_counted(seldom.repartition("w1"), 1), 1))
+    orders = [*range(2, n), 1, 1]
+    share = (F.col("n") / F.col("total")).alias("p")
+    return reduce(DataFrame.unionByName, [part.select(*_named(order), "next", "n", "total", share) for part, order in zip(parts, orders)])
+
+
+def _with_total(counts: DataFrame, order: int) -> DataFrame:
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*_context(order))))
 
 
 def next_word_topn(model: DataFrame, end_id: int, n: int = CHOICES) -> DataFrame:
@@ -63,19 +87,38 @@ def next_word_topn(model: DataFrame, end_id: int, n: int = CHOICES) -> DataFrame
 
     ``can_end`` tells the lists that may hold the end mark from those that may not.
     """
+    return _best(model, ["order", "context"], end_id, n)
+
+
+def top_next_words(sequences: DataFrame, orders: int, end_id: int, n: int = CHOICES, ids: str = "ids") -> DataFrame:
+    """``next_word_topn`` of the ``ngram_model`` of sequences, picked where their steps are counted."""
+    parts = []
+    for order in range(1, orders):
+        best = _best(_counts(sequences, order, ids), _context(order), end_id, n)
+        parts.append(best.select(*_named(order), "next", "n", "can_end", "rank", "p"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best(model: DataFrame, group: list[str], end_id: int, n: int) -> DataFrame:
     # The end mark takes one place at most, so the first n + 1 hold both lists.
-    group = ["order", "context"]
     rows = top_n(model.select(*group, "next", "n"), group, [F.col("n").desc(), F.col("next").asc()], n + 1, "place")
-    end_at = F.min(F.when(F.col("next") == end_id, F.col("place"))).over(Window.partitionBy(*group))
-    rows = rows.withColumn("end_at", F.coalesce(end_at, F.lit(n + 2)))
+    whole, place, is_end = Window.partitionBy(*group), F.col("place"), F.col("next") == end_id
+    rows = rows.withColumns(
+        {
+            "end_at": F.coalesce(F.min(F.when(is_end, place)).over(whole), F.lit(n + 2)),
+            "open_sum": F.sum(F.when(place <= n, F.col("n"))).over(whole),
+            "closed_sum": F.sum(F.when(~is_end, F.col("n"))).over(whole),
+        }
+    )
     # Without the end mark, those behind it move up.
-    closed = F.when(F.col("place") < F.col("end_at"), F.col("place")).when(F.col("place") > F.col("end_at"), F.col("place") - 1)
+    end_at = F.col("end_at")
+    closed = F.when(place < end_at, place).when(place > end_at, place - 1)
+    closed_sum = F.when(end_at <= n + 1, F.col("closed_sum")).otherwise(F.col("open_sum"))
     lists = F.array(
-        F.struct(F.lit(True).alias("can_end"), F.col("place").alias("rank")), F.struct(F.lit(False).alias("can_end"), closed.alias("rank"))
+        F.struct(F.lit(True).alias("can_end"), place.alias("rank"), (F.col("n") / F.col("open_sum")).alias("p")),
+        F.struct(F.lit(False).alias("can_end"), closed.alias("rank"), (F.col("n") / closed_sum).alias("p")),
     )
-    best = rows.select(*group, "next", "n", F.inline(lists)).where(F.col("rank") <= n)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(*group, "can_end"))
-    return best.withColumn("p", share)
+    return rows.select(*group, "next", "n", F.inline(lists)).where(F.col("rank") <= n)
 
 
 def _choice_lists(model: DataFrame, end_id: int, n: int) -> DataFrame:
@@ -130,23 +173,22 @@ def _advance(running: DataFrame, key: list[str], choices: DataFrame, end_id: int
     return met.select(*key, grown.alias("ids"), last.alias("last"))
 
 
-def _log_share(smooth: bool, words: int) -> Column:
-    if smooth:
-        return F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", F.lit(0)) + words))
-    return F.coalesce(F.log(F.col("n") / F.col("total")), F.lit(float("-inf")))
+def _first_order(model: DataFrame) -> DataFrame:
+    return model.where("order = 1").withColumn("w1", F.col("context").cast("long"))
 
 
 def score_sentences(sequences: DataFrame, key: list[str], model: DataFrame, ids: str = "ids") -> DataFrame:
     """Log probability of each sentence after its first word: ``key…, words, log_prob``."""
-    steps = transitions(sequences.select(*key, ids), 2, ids).select(*key, "context", "next")
-    pairs = materialise(model.where("order = 1").select("context", "next", "n", "total"), "steps")
-    # A step between two words of the head is looked up where it stands; frequent steps are among these.
+    steps = _steps(sequences.select(*key, ids), 1, ids)
+    pairs = materialise(_first_order(model).select("w1", "next", "n", F.log(F.col("n") / F.col("total")).alias("share")), "steps")
+    # Frequent steps are looked up where they stand; only the others meet the rest of the model by shuffle.
     least = heavy_from(pairs, "n", HEAD_WORDS)
-    pairs = pairs.withColumn("__head", F.lit(False) if least is None else F.col("n") >= least)
-    known = match(steps, pairs, ["context", "next"], "left")
-    return known.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("words"), F.sum(_log_share(False, 0)).alias("log_prob")
-    )
+    frequent = F.lit(False) if least is None else F.col("n") >= least
+    met = steps.join(F.broadcast(pairs.where(frequent).drop("n")), ["w1", "next"], "left")
+    rare = met.where("share IS NULL").drop("share").join(pairs.where(~frequent).drop("n"), ["w1", "next"], "left")
+    rare = rare.withColumn("share", F.coalesce("share", F.lit(float("-inf"))))
+    known = met.where("share IS NOT NULL").select(*key, "share").unionByName(rare.select(*key, "share"))
+    return known.groupBy(*key).agg(F.count(F.lit(1)).alias("words"), F.sum("share").alias("log_prob"))
 
 
 def cross_entropy(sequences: DataFrame, model: DataFrame, words: int, ids: str = "ids") -> DataFrame:
@@ -155,11 +197,10 @@ def cross_entropy(sequences: DataFrame, model: DataFrame, words: int, ids: str =
     ``words`` is the number of words a next word can be. Equal steps are added up before they
     meet the model.
     """
-    steps = transitions(sequences.select(ids), 2, ids).groupBy("order", "context", "next")
-    steps = steps.agg(F.count(F.lit(1)).alias("times"))
-    pairs = model.where("order = 1")
-    totals = pairs.select("order", "context", "total").distinct()
-    met = steps.join(pairs.select("order", "context", "next", "n"), ["order", "context", "next"], "left")
-    met = met.join(totals, ["order", "context"], "left")
-    mean = F.sum(-_log_share(True, words) * F.col("times")) / F.sum("times")
+    steps = _steps(sequences.select(ids), 1, ids).groupBy("w1", "next").agg(F.count(F.lit(1)).alias("times"))
+    pairs = materialise(_first_order(model).select("w1", "next", "n", "total"), "pairs")
+    totals = pairs.groupBy("w1").agg(F.max("total").alias("total"))
+    met = steps.join(pairs.select("w1", "next", "n"), ["w1", "next"], "left").join(totals, "w1", "left")
+    share = F.log((F.coalesce("n", F.lit(0)) + 1.0) / (F.coalesce("total", F.lit(0)) + words))
+    mean = F.sum(-share * F.col("times")) / F.sum("times")
     return met.agg(mean.alias("cross_entropy")).withColumn("perplexity", F.exp("cross_entropy"))
