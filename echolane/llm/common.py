@@ -30,14 +30,15 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str) -> DataFrame:
-    """Arrow batches in, column dicts out; ``schema`` is a DDL string."""
+    """Arrow batches in, column dicts out, of sequences or Arrow arrays; ``schema`` is a DDL string."""
     fields = [part.rsplit(" ", 1) for part in schema.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32()}
     target = pa.schema([(name, pa.list_(kinds[kind[6:-1]]) if kind.startswith("array<") else kinds[kind]) for name, kind in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in work(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[field.name], field.type) for field in target], schema=target)
+            arrays = [columns[field.name] for field in target]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, target)], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -41,8 +41,8 @@ DEPTH, MARK = 5, 0xFF
 # Most frequent words and runs that travel with the job.
 HEAD_WORDS, HEAD_RUNS = 400_000, 1_000_000
 
-# Texts counted at a time, and entries that a task gathers before it passes them on.
-TEXTS, GATHER = 500, 400_000
+# Texts counted at a time, bits that number them, and entries that a task gathers before it passes them on.
+TEXTS, TEXT_BITS, GATHER = 500, 9, 400_000
 
 HOLD_OUT_MOD, HOLD_OUT_REST = 7, 2
 
@@ -63,10 +63,18 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     who = np.repeat(np.arange(len(texts)), lengths + 1)
     first = np.cumsum(lengths + 1) - (lengths + 1)
     at = np.arange(len(who)) - first[who] + starts[who]
-    run = np.zeros(len(at), np.int64)
-    for back in range(DEPTH, -1, -1):
-        run = run << 8 | data[at - back]
-    return run, who
+    run = np.zeros(len(data) - DEPTH, np.int64)
+    for begin in range(DEPTH + 1):
+        run <<= 8
+        run |= data[begin : begin + len(run)]
+    return run[at - DEPTH], who
+
+
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how many there are of each."""
+    keys = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[starts], np.diff(starts, append=len(keys))
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +91,10 @@ def _count(docs: DataFrame) -> DataFrame:
         runs: list[tuple[np.ndarray, np.ndarray]] = []
 
         def gathered() -> Iterator[dict]:
-            keys = list(words[0].keys() | words[1].keys())
-            if keys:
-                trained = [words[0][k] for k in keys]
-                yield {"word": keys, "run": [None] * len(keys), "trained": trained, "n": [t + words[1][k] for t, k in zip(trained, keys)]}
-            words[0].clear(), words[1].clear()
+            for held, counted in enumerate(words):
+                n = np.fromiter(counted.values(), np.int64, len(counted))
+                yield {"word": list(counted), "run": pa.nulls(len(n)), "trained": n * (1 - held), "n": n}
+                counted.clear()
 
         for batch in batches:
             for begin in range(0, batch.num_rows, TEXTS):
@@ -98,11 +105,11 @@ def _count(docs: DataFrame) -> DataFrame:
                     words[held].update(text.split())
                     words[held][b""] += 1
                 found, who = runs_of(texts)
-                kinds, counts = np.unique(found, return_counts=True)
-                trained, of_kind = np.unique(found[~out[who]], return_counts=True)
-                of = np.zeros(len(kinds), np.int64)
-                of[np.searchsorted(kinds, trained)] = of_kind
-                runs.append((kinds, np.stack([of, counts])))
+                # A run takes 48 bits; beside it stands whether the text is held out.
+                keys, counts = _tally(found << 1 | out[who])
+                starts = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+                each = [np.add.reduceat(x, starts) if len(starts) else x for x in (np.where(keys & 1, 0, counts), counts)]
+                runs.append((keys[starts] >> 1, np.stack(each)))
                 if sum(len(r[0]) for r in runs) > 4 * GATHER:
                     runs = [_merge(runs)]
                 if len(words[0]) + len(words[1]) > GATHER:
@@ -110,7 +117,7 @@ def _count(docs: DataFrame) -> DataFrame:
         yield from gathered()
         if runs:
             kinds, counts = _merge(runs)
-            yield {"word": [None] * len(kinds), "run": kinds, "trained": counts[0], "n": counts[1]}
+            yield {"word": pa.nulls(len(kinds)), "run": kinds, "trained": counts[0], "n": counts[1]}
 
     found = map_batches(text_rows(docs), work, _COUNTS)
     return found.groupBy("word", "run").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n"))
@@ -244,12 +251,16 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS, head_runs: int = HEAD_R
     run_keys, run_values = run_keys[order], run_values[order]
     word_list = word_keys.to_pylist()
 
+    def told(part: pa.RecordBatch, which: np.ndarray, **columns: np.ndarray | list) -> dict:
+        """Rows of texts of this part; columns that are not given are null."""
+        own = {name: part.column(name).take(pa.array(which)) for name in ("doc_id", "place")}
+        return {name: pa.nulls(len(which)) for name in names} | own | columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = dict(zip(word_list, word_values.tolist()))
         for batch in batches:
             for begin in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(begin, TEXTS)
-                ids, places = part.column("doc_id").to_pylist(), part.column("place").to_pylist()
                 texts = [lower_ascii(t) for t in part.column("text").to_pylist()]
                 size = len(texts)
                 tokens = [[*t.split(), b""] for t in texts]
@@ -261,17 +272,16 @@ def score(docs: DataFrame, head_words: int = HEAD_WORDS, head_runs: int = HEAD_R
                 found[rare] = 0
                 known = np.bincount(who, found > 0, size).astype(np.int64)
                 base = np.bincount(who, found, size)
-                run, of = runs_of(texts)
+                # A run takes 48 bits; beside it stands its text. In order, neighbours are looked up in one place.
+                keys, times = _tally((lambda run, of: run << TEXT_BITS | of)(*runs_of(texts)))
+                run, of = keys >> TEXT_BITS, keys & (1 << TEXT_BITS) - 1
                 at = np.minimum(np.searchsorted(run_keys, run), max(len(run_keys) - 1, 0))
                 hit = run_keys[at] == run if len(run_keys) else np.zeros(len(run), bool)
-                model = np.bincount(of[hit], run_values[at[hit]], size)
-                rare_words = Counter((int(who[i]), flat[i]) for i in rare.tolist())
-                rare_runs = Counter(zip(of[~hit].tolist(), run[~hit].tolist()))
-                rows = [(d, None, None, 1, n, k, b, m) for d, n, k, b, m in zip(range(size), lengths, known, base, model)]
-                rows += [(d, w, None, n, None, None, None, None) for (d, w), n in rare_words.items()]
-                rows += [(d, None, r, n, None, None, None, None) for (d, r), n in rare_runs.items()]
-                which, *rest = zip(*rows) if rows else [()] * 8
-                yield dict(zip(names, ([ids[d] for d in which], [places[d] for d in which], *rest)))
+                model = np.bincount(of[hit], times[hit] * run_values[at[hit]], size)
+                rare_words = Counter(zip(who[rare].tolist(), map(flat.__getitem__, rare.tolist())))
+                yield told(part, np.arange(size), n=np.ones(size, np.int64), n_tokens=lengths, n_known=known, base=base, model=model)
+                yield told(part, np.array([d for d, _ in rare_words], np.int64), word=[w for _, w in rare_words], n=list(rare_words.values()))
+                yield told(part, of[~hit], run=run[~hit], n=times[~hit])
 
     names = ("doc_id", "place", "word", "run", "n", "n_tokens", "n_known", "base", "model")
     schema = "doc_id long, place long, word binary, run long, n long, n_tokens long, n_known long, base double, model double"

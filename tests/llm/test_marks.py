@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +343,22 @@ def test_turns_in_order(spark):
     assert set(pairs) == {0, 1} and pairs[1]["n_prompt"] == 3
     assert "reply" in pairs[1]["rejected"] and "b<|end|>" in pairs[0]["rejected"]
     assert preference.format_pairs(preference.reply_pairs(df.limit(0))).count() == 0
+
+
+def test_runs_are_tallied_in_order_and_rows_are_columns_not_tuples(spark, monkeypatch):
+    keys = np.array([5, 3, 5, 1 << 56, 3, 5])
+    kinds, times = ctw._tally(keys)
+    assert kinds.tolist() == [3, 5, 1 << 56] and times.tolist() == [2, 3, 1]
+    assert [len(x) for x in ctw._tally(keys[:0])] == [0, 0]
+    made, kept = [], ctw.map_batches
+
+    def watched(df, work, schema):
+        made.append(work)
+        return kept(df, work, schema)
+
+    monkeypatch.setattr(ctw, "map_batches", watched)
+    ctw.score(frame(spark, [(i, f"abc {i} xyz" * 3) for i in range(20)]), head_words=3, head_runs=5)
+    part = pa.RecordBatch.from_pydict({"doc_id": [7, None], "text": ["abc new new abc", ""], "place": [1, 2]})
+    for columns in made[-1](iter([part])):
+        assert all(isinstance(columns[name], pa.Array) for name in ("doc_id", "place"))
+        assert set(columns["doc_id"].to_pylist()) <= {7, None}
