@@ -165,9 +165,8 @@ def search_events(spark: SparkSession, folder: str) -> DataFrame:
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Every part as a song, album, playlist and singer: ``id, type, name``."""
     kinds = F.explode(F.array(*map(F.lit, ("song", "album", "playlist", "singer"))))
-    return read_table(spark, folder, "part").select(
-        F.col("p_partkey").alias("id"), kinds.alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("name")
-    )
+    parts = spread(read_table(spark, folder, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("id"), kinds.alias("type"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
 
 
 def search_results(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,18 +57,23 @@ def keyword_search(queries: DataFrame, catalog: DataFrame, k: int = PAGE, block:
     its blocks. A query takes its heavy words until the rest together cannot reach the threshold;
     the blocks of these words, each with the most that an entry in it can score, are looked into
     from the highest bound down, four times as many in every round, until no bound can beat what the
-    query has found. That is exact whatever the number of words.
+    query has found. That is exact whatever the number of words. Where no query is that long, entries
+    are not put in order and have no blocks.
     """
+    asked = materialise(queries.select("keyword", "type").distinct().withColumn("words", _distinct_words("keyword")), "asked")
     entries = catalog.select("id", "type", _distinct_words("name").alias("words"))
-    entries = with_index(entries, [F.col("type").asc(), F.col("id").asc()], "__at")
-    entries = materialise(entries.withColumn("block", F.floor(F.col("__at") / block)).drop("__at"), "entries")
+    if asked.where(F.size("words") > SET_WORDS).isEmpty():
+        entries = entries.withColumn("block", F.lit(None).cast("long"))
+    else:
+        entries = with_index(entries, [F.col("type").asc(), F.col("id").asc()], "__at")
+        entries = entries.withColumn("block", F.floor(F.col("__at") / block)).drop("__at")
+    entries = materialise(entries, "entries")
     postings = entries.select("type", "id", "words", "block", F.explode("words").alias("word"))
     sizes = entries.groupBy("type").agg(F.count(F.lit(1)).alias("entries"))
     weights = postings.groupBy("type", "word").agg(F.count(F.lit(1)).alias("df")).join(sizes, "type")
     weights = weights.select("type", "word", "df", F.log1p(F.col("entries") / F.col("df")).alias("weight"))
 
-    asked = queries.select("keyword", "type").distinct()
-    words = asked.select("keyword", "type", F.explode(_distinct_words("keyword")).alias("word"))
+    words = asked.select("keyword", "type", F.explode("words").alias("word"))
     known = words.join(weights, ["type", "word"]).groupBy("keyword", "type").agg(
         F.reverse(F.sort_array(F.collect_list(F.struct("weight", "word", "df")))).alias("terms")
     )
@@ -212,13 +217,13 @@ def label_impressions(events: DataFrame, results: DataFrame, strict: bool = Fals
     result is the event's singer or album, and end at the clicked song only from position 11
     on, or at any position with ``strict``; other kinds end at the clicked entity.
     """
+    kinds = ["song", "album", "playlist", "singer"]
+    # What is the same for all results of an event is told before they are expanded.
+    rows = _windows(events, results, strict).withColumns({f"__{kind}": F.col("type") == kind for kind in kinds})
     # The outer form keeps Spark from repeating the whole expression in a filter on its size.
-    rows = _windows(events, results, strict).select("*", F.posexplode_outer("shown").alias("at", "candidate"))
+    rows = rows.select("*", F.posexplode_outer("shown").alias("at", "candidate"))
     rows = rows.where(F.col("candidate").isNotNull())
-    kinds = ["song", "album", "playlist", "singer"]
-    replaced = {
-        kind: F.when(F.col("type") == kind, F.col("candidate")).otherwise(F.col(kind)) for kind in kinds
-    }
+    replaced = {kind: F.when(F.col(f"__{kind}"), F.col("candidate")).otherwise(F.col(kind)) for kind in kinds}
     return rows.select(
         "user",
         *[replaced[kind].alias(kind) for kind in kinds],

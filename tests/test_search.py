@@ -50,6 +50,17 @@ def test_long_queries_of_hot_words(spark):
     assert answers(spark, names, asked, 5, 10) == {q: by_hand(names, q, 5) for q in asked}
 
 
+def test_entries_are_not_put_in_order_for_short_queries(spark, fixture, monkeypatch):
+    sorts, kept = [], L.with_index
+    monkeypatch.setattr(L, "with_index", lambda *a: sorts.append(a) or kept(*a))
+    names, asked = fixture
+    short = [q for q in asked if len(set(q.lower().split())) <= L.SET_WORDS]
+    assert answers(spark, names, short, 7, 16) == {q: by_hand(names, q, 7) for q in short if by_hand(names, q, 7)}
+    assert not sorts
+    long = "love song night blue moon rain fire"
+    assert answers(spark, names, [long], 7, 16) == {long: by_hand(names, long, 7)} and len(sorts) == 1
+
+
 def test_few_blocks_are_looked_into(spark, monkeypatch):
     """Entries that share the words of a query stand together; the other blocks are left alone."""
     names = [f"a{i // 50} b{i // 50} common other" if i % 2 else f"a{i // 50} common" for i in range(2000)]
