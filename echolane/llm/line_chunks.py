@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 
-# Every second letter or digit, beyond Latin every second block of 32 characters.
+# Every second letter or digit, beyond Latin every second block of 32 characters. The many blocks are
+# looked through only for characters beyond Latin.
 HALF = "".join(chr(c) for c in (*range(0x30, 0x3A, 2), *range(0x42, 0x5B, 2), *range(0x62, 0x7B, 2), *range(0xC0, 0x100, 2)))
-HALF += "".join(f"\\x{{{a:x}}}-\\x{{{a + 31:x}}}" for a in range(0x100, 0x1000, 64)) + r"\x{ac00}-\x{c1ff}"
+HALF += r"[[^\x00-\xff]&&[%s\x{ac00}-\x{c1ff}]]" % "".join(f"\\x{{{a:x}}}-\\x{{{a + 31:x}}}" for a in range(0x100, 0x1000, 64))
 
 # Where pieces end: after a line break, after a mark and a space, and after a word of five characters or
 # more whose last one is of that half. A sign that texts hardly ever hold marks these places, which is
@@ -42,9 +43,12 @@ HALF += "".join(f"\\x{{{a:x}}}-\\x{{{a + 31:x}}}" for a in range(0x100, 0x1000,
 AFTER = r"(?!\z)(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=[^\x20\n]{4}[%s]\x20)(?!\x20))" % HALF
 SIGN = "\x01"
 
-# Least pieces and characters of a chunk that may go; pieces beside a chunk that may go with it, more
-# than the few in a row whose chunks are too short or end elsewhere.
-MIN_PIECES, MIN_CHARS, BESIDE = 2, 40, 12
+# What parts pieces inside a chunk, and chunks: trimmed pieces hold no line break and end without a space.
+INSIDE, BETWEEN = "\n", " \n"
+
+# Least characters of a chunk that may go, which has two pieces or more; pieces beside a chunk that may
+# go with it, more than the few in a row whose chunks are too short or end elsewhere.
+MIN_CHARS, BESIDE = 40, 12
 
 _LAST = (1 << 63) - 1
 _KEYS = ["__id", "__place"]
@@ -62,9 +66,15 @@ def pieces(text: Column) -> Column:
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
-def _trimmed(piece: Column) -> Column:
-    """Without what parts it from the next one, so that the end of a line is like one inside it."""
-    return F.rtrim(piece, F.lit(" \n"))
+def trimmed_pieces(text: Column) -> Column:
+    """Without what parts them from the next one, so that the end of a line is like one inside it.
+
+    The cut takes one character, so only where two follow each other or the text ends is there more to trim.
+    """
+    cut = F.split(text, r"[\x20\n]" + AFTER, -1)
+    more = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(" \n")) | F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\n"))
+    trimmed = F.when(more, F.transform(cut, lambda p: F.rtrim(p, F.lit(" \n")))).otherwise(cut)
+    return F.when(F.length(text) > 0, trimmed).otherwise(F.array().cast("array<string>"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -73,63 +83,64 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _pairs(hashes: Column) -> Column:
-    """Rolling hashes of two neighbours."""
+    """Rolling hashes of two neighbours: at each piece but the first that of it and the one before; highest at both ends."""
     after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
-    return F.zip_with(F.slice(hashes, F.lit(1), F.size(after)), after, lambda x, y: F.xxhash64(x, y))
+    both = F.zip_with(F.slice(hashes, F.lit(1), F.size(after)), after, lambda x, y: F.xxhash64(x, y))
+    return F.concat(F.array(F.lit(_LAST)), both, F.array(F.lit(_LAST)))
 
 
-def _starts(pairs: Column) -> Column:
-    """Places where chunks begin: the second pieces of pairs below their neighbours, and the first piece."""
-    most = F.lit(_LAST)
-    lowest = lambda h, i: (h < F.coalesce(F.get(pairs, i - 1), most)) & (h <= F.coalesce(F.get(pairs, i + 1), most))
-    places = F.filter(F.transform(pairs, lambda h, i: F.when(lowest(h, i), i + 1)), lambda i: i.isNotNull())
-    return F.concat(F.array(F.lit(0)), places)
+def _begins(i: Column) -> Column:
+    """Whether a chunk begins at piece ``i`` after the first: at the second piece of a pair below its neighbours."""
+    pair = lambda i: F.get("__pairs", i)
+    return (pair(i) < pair(i - 1)) & (pair(i) <= pair(i + 1))
 
 
-def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
-    """Adds ``__pieces`` trimmed, ``__hashes``, and ``__starts`` with the number of pieces at the end."""
-    trimmed = F.transform(pieces(F.col("text")), _trimmed)
-    rows = _once(keyed, "__pieces", trimmed).select(*_KEYS, *more, "__pieces")
-    rows = _once(rows, "__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
-    rows = _once(rows, "__pairs", _pairs(F.col("__hashes")))
-    return _once(rows, "__starts", F.concat(_starts(F.col("__pairs")), F.array(F.size("__hashes")))).drop("__pairs")
+def _starts() -> Column:
+    """Places where chunks begin, and the number of pieces."""
+    n = F.size("__hashes")
+    return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n - 1), _begins), F.array(n))
 
 
-def _spans() -> Column:
-    """``at, size`` of chunks of several pieces and enough characters."""
-    ends = F.slice("__starts", F.lit(2), F.size("__starts") - 1)
-    spans = F.zip_with(F.slice("__starts", F.lit(1), F.size(ends)), ends, lambda s, e: F.struct(s.alias("at"), (e - s).alias("size")))
-    chars = lambda s: F.length(F.array_join(F.slice("__pieces", s["at"] + 1, s["size"]), " "))
-    return F.filter(spans, lambda s: (s["size"] >= MIN_PIECES) & (chars(s) >= MIN_CHARS))
+def _bytes() -> Column:
+    """The bytes of all chunks. A slice for each chunk would go through all pieces every time."""
+    marked = F.transform("__pieces", lambda p, i: F.when(_begins(i + 1), F.concat(p, F.lit(" "))).otherwise(p))
+    return F.split(F.array_join(marked, INSIDE), BETWEEN, -1)
+
+
+def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
+    """Adds ``__pieces`` trimmed, their ``__hashes`` and ``__pairs``."""
+    rows = _once(keyed, "__pieces", trimmed_pieces(F.col("text"))).select(*_KEYS, *more, "__pieces")
+    rows = _once(rows, "__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
+    return _once(rows, "__pairs", _pairs(F.col("__hashes")))
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """``__id, __place, at, size, hash`` of chunks of several pieces."""
-    spans = _spans()
-    hashed = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.xxhash64(F.slice("__hashes", s["at"] + 1, s["size"])).alias("hash")))
-    return rows.select(*_KEYS, F.explode(hashed).alias("c")).select(*_KEYS, "c.at", "c.size", "c.hash")
+    """``__id, __place, no, hash`` of chunks of several pieces and enough characters."""
+    chunks = rows.select(*_KEYS, F.posexplode(_bytes()).alias("no", "bytes"))
+    several = F.contains("bytes", F.lit(INSIDE)) & (F.length("bytes") >= MIN_CHARS)
+    return chunks.where(several).select(*_KEYS, "no", F.xxhash64("bytes").alias("hash"))
 
 
 def _repeated(chunks: DataFrame) -> DataFrame:
     """``__id, __place, spans``: the chunks of each document whose hash occurs more than once, and whether as the first."""
-    order = F.struct(*_KEYS, "at")
+    order = F.struct(*_KEYS, "no")
     often = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").drop("n")
-    spans = chunks.join(often, "hash").select(*_KEYS, F.struct("at", "size", "hash", (order == F.col("first")).alias("first")).alias("span"))
+    spans = chunks.join(often, "hash").select(*_KEYS, F.struct("no", "hash", (order == F.col("first")).alias("first")).alias("span"))
     return spans.groupBy(*_KEYS).agg(F.collect_set("span").alias("spans"))
 
 
 def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """Repeated chunks with their bytes and the hashes of ``BESIDE`` pieces on both sides."""
-    rows = _chunked(keyed.join(spans, _KEYS), "spans").withColumn("c", F.explode("spans"))
-    at, end = F.col("c.at"), F.col("c.at") + F.col("c.size")
+    place = lambda c: (F.get("__starts", c["no"]).alias("at"), F.get("__starts", c["no"] + 1).alias("end"))
+    found = F.transform("spans", lambda c: F.struct(*place(c), c["hash"].alias("hash"), c["first"].alias("first"), F.get("__bytes", c["no"]).alias("bytes")))
+    rows = _chunked(keyed.join(spans, _KEYS), "spans")
+    rows = rows.select(*_KEYS, "spans", "__hashes", _starts().alias("__starts"), _bytes().alias("__bytes"))
+    rows = _once(rows, "__found", found).select(*_KEYS, "__hashes", F.explode("__found").alias("c"))
+    at, end = F.col("c.at"), F.col("c.end")
     before, after = F.greatest(at - BESIDE, F.lit(0)), F.least(end + BESIDE, F.size("__hashes"))
     return rows.select(
         *_KEYS,
-        at.alias("at"),
-        F.col("c.size").alias("size"),
-        F.col("c.hash").alias("hash"),
-        F.col("c.first").alias("first"),
-        F.array_join(F.slice("__pieces", at + 1, F.col("c.size")), "\n").alias("bytes"),
+        "c.*",
         F.reverse(F.slice("__hashes", before + 1, at - before)).alias("before"),
         F.slice("__hashes", end + 1, after - end).alias("after"),
     )
@@ -147,16 +158,22 @@ def removed_pieces(docs: DataFrame) -> DataFrame:
 
 def _gone(keyed: DataFrame) -> DataFrame:
     chunks = materialise(_chunks(_chunked(keyed)), "chunks")
-    rows = materialise(_candidates(keyed, _repeated(chunks)), "candidates")
+    # Written, so that the shuffles of chunks are gone before texts are shuffled.
+    spans = materialise(_repeated(chunks), "spans")
     discard(chunks)
+    rows = materialise(_candidates(keyed, spans), "candidates")
+    discard(spans)
     # Equal rows give the same first chunk more than once.
     beside = [F.col(c).alias(f"first_{c}") for c in ("bytes", "before", "after")]
     first = rows.where("first").groupBy("hash").agg(F.any_value(F.struct(*beside)).alias("f")).select("hash", "f.*")
     copies = rows.where("not first").join(first, "hash").where(F.col("bytes") == F.col("first_bytes"))
     begin = F.col("at") - _same_from_start("before", "first_before")
-    end = F.col("at") + F.col("size") + _same_from_start("after", "first_after")
-    spans = copies.select(*_KEYS, F.sequence(begin, end - 1).alias("numbers"))
-    return spans.groupBy(*_KEYS).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("__gone"))
+    end = F.col("end") + _same_from_start("after", "first_after")
+    numbers = copies.select(*_KEYS, F.sequence(begin, end - 1).alias("numbers"))
+    gone = numbers.groupBy(*_KEYS).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("__gone"))
+    gone = materialise(gone, "gone")
+    discard(rows)
+    return gone
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:

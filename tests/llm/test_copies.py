@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echolane.llm import decontaminate, line_chunks, simhash
+from echolane.session import work_dir
 
 from .cases import EXTRA, LONG, PLAIN, ROWS, frame
 
@@ -232,6 +234,36 @@ def test_awkward_rows_keep_their_columns(spark):
     assert len(sevens) == 2 and sevens[0] == sevens[1] and len(sevens[0]) < len(ROWS[0][1])
 
 
+def test_chunks_are_runs_of_trimmed_pieces(spark):
+    rng = random.Random(11)
+    odd = ["", " ", "\n", "a", "two words.\n", "end. \n", "\n\n  \n", " a.  b, \n c", "worda  wordb \nwordc \n\n \x01 \x02 word.d"]
+    odd += ["".join(rng.choices(["a", "longword", "wordb", "\u0101\u0141word\uac00", "\U0001f600", ".", ",", " ", "  ", "\n", "\x01", "\x02"], k=300)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    whole = {r[0]: r[1] for r in df.select("doc_id", line_chunks.pieces(F.col("text"))).collect()}
+    rows = line_chunks._chunked(line_chunks._keyed(df)).select("__id", "__pieces", "__pairs", line_chunks._starts(), line_chunks._bytes()).collect()
+    assert len(rows) == len(odd)
+    for doc_id, pieces, pairs, starts, chunks in rows:
+        assert pieces == [p.rstrip(" \n") for p in whole[doc_id]]
+        if not pieces:
+            assert chunks == [""]
+            continue
+        lowest = [i for i in range(1, len(pieces)) if pairs[i] < pairs[i - 1] and pairs[i] <= pairs[i + 1]]
+        want = [0, *lowest, len(pieces)]
+        assert chunks == ["\n".join(pieces[a:b]) for a, b in zip(want, want[1:])]
+        assert len(pieces) < 2 or starts == want
+
+
+def test_line_dedup_leaves_little_on_disk(spark):
+    rng = random.Random(12)
+    shared = " ".join(sentences(rng, 20))
+    docs = frame(spark, [(i, shared + " " + " ".join(sentences(rng, 20))) for i in range(20)])
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = {f.name for f in folder.iterdir()} if folder.exists() else set()
+    assert line_chunks.repeated_passages(docs).where("n_removed > 0").count() == 19
+    # Chunks and their bytes are removed once nothing reads them; only the numbers of the pieces that go stay.
+    assert {f.name.split("-")[0] for f in folder.iterdir() if f.name not in before} <= {"gone"}
+
+
 def slow_distance(item, words, most):
     best = None
     for end in range(max(0, len(item) - most), min(len(words), len(item) + most) + 1):
