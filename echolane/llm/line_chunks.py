@@ -40,7 +40,7 @@ HALF += r"[[^\x00-\xff]&&[%s\x{ac00}-\x{c1ff}]]" % "".join(f"\\x{{{a:x}}}-\\x{{{
 # Where pieces end: after a line break, after a mark and a space, and after a word of five characters or
 # more whose last one is of that half. A sign that texts hardly ever hold marks these places, which is
 # faster than a pattern without width; a text that holds the sign is cut by such a pattern instead.
-AFTER = r"(?!\z)(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=[^\x20\n]{4}[%s]\x20)(?!\x20))" % HALF
+AFTER = r"(?:(?<=\n)|(?<=[.!?,;:]\x20)|(?<=%s[%s]\x20)(?!\x20))(?!\z)" % (r"[^\x20\n]" * 4, HALF)
 SIGN = "\x01"
 
 # What parts pieces inside a chunk, and chunks: trimmed pieces hold no line break and end without a space.
@@ -69,10 +69,11 @@ def pieces(text: Column) -> Column:
 def trimmed_pieces(text: Column) -> Column:
     """Without what parts them from the next one, so that the end of a line is like one inside it.
 
-    The cut takes one character, so only where two follow each other or the text ends is there more to trim.
+    The cut takes one character. Marks and words stand right before it, so there is more to trim only
+    where it is a line break after a space, and at the end of the text.
     """
     cut = F.split(text, r"[\x20\n]" + AFTER, -1)
-    more = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(" \n")) | F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\n"))
+    more = F.endswith(text, F.lit(" ")) | F.endswith(text, F.lit("\n")) | F.contains(text, F.lit(" \n"))
     trimmed = F.when(more, F.transform(cut, lambda p: F.rtrim(p, F.lit(" \n")))).otherwise(cut)
     return F.when(F.length(text) > 0, trimmed).otherwise(F.array().cast("array<string>"))
 
@@ -82,36 +83,34 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _pairs(hashes: Column) -> Column:
+def _pairs() -> Column:
     """Rolling hashes of two neighbours: at each piece but the first that of it and the one before; highest at both ends."""
-    after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
-    both = F.zip_with(F.slice(hashes, F.lit(1), F.size(after)), after, lambda x, y: F.xxhash64(x, y))
-    return F.concat(F.array(F.lit(_LAST)), both, F.array(F.lit(_LAST)))
+    most = F.array(F.lit(_LAST))
+    others = F.slice("__pieces", F.lit(2), F.greatest(F.size("__pieces") - 1, F.lit(0)))
+    pairs = F.transform(others, lambda p, i: F.xxhash64(F.xxhash64(F.get("__pieces", i)), F.xxhash64(p)))
+    return F.concat(most, pairs, most)
 
 
-def _begins(i: Column) -> Column:
-    """Whether a chunk begins at piece ``i`` after the first: at the second piece of a pair below its neighbours."""
-    pair = lambda i: F.get("__pairs", i)
-    return (pair(i) < pair(i - 1)) & (pair(i) <= pair(i + 1))
+# Whether a chunk begins after piece ``i``: at the second piece of a pair below its neighbours.
+_ENDS = "get(__pairs, i + 1) < get(__pairs, i) and get(__pairs, i + 1) <= get(__pairs, i + 2)"
 
 
 def _starts() -> Column:
     """Places where chunks begin, and the number of pieces."""
-    n = F.size("__hashes")
-    return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), n - 1), _begins), F.array(n))
+    ends = F.expr(f"filter(transform(__pieces, (p, i) -> if({_ENDS}, i + 1, null)), i -> i is not null)")
+    return F.concat(F.array(F.lit(0)), ends, F.array(F.size("__pieces")))
 
 
 def _bytes() -> Column:
     """The bytes of all chunks. A slice for each chunk would go through all pieces every time."""
-    marked = F.transform("__pieces", lambda p, i: F.when(_begins(i + 1), F.concat(p, F.lit(" "))).otherwise(p))
+    marked = F.expr(f"transform(__pieces, (p, i) -> if({_ENDS}, concat(p, ' '), p))")
     return F.split(F.array_join(marked, INSIDE), BETWEEN, -1)
 
 
 def _chunked(keyed: DataFrame, *more: str) -> DataFrame:
-    """Adds ``__pieces`` trimmed, their ``__hashes`` and ``__pairs``."""
+    """Adds ``__pieces`` trimmed and their ``__pairs``."""
     rows = _once(keyed, "__pieces", trimmed_pieces(F.col("text"))).select(*_KEYS, *more, "__pieces")
-    rows = _once(rows, "__hashes", F.transform("__pieces", lambda p: F.xxhash64(p)))
-    return _once(rows, "__pairs", _pairs(F.col("__hashes")))
+    return _once(rows, "__pairs", _pairs())
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -134,7 +133,8 @@ def _candidates(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     place = lambda c: (F.get("__starts", c["no"]).alias("at"), F.get("__starts", c["no"] + 1).alias("end"))
     found = F.transform("spans", lambda c: F.struct(*place(c), c["hash"].alias("hash"), c["first"].alias("first"), F.get("__bytes", c["no"]).alias("bytes")))
     rows = _chunked(keyed.join(spans, _KEYS), "spans")
-    rows = rows.select(*_KEYS, "spans", "__hashes", _starts().alias("__starts"), _bytes().alias("__bytes"))
+    hashes = F.transform("__pieces", lambda p: F.xxhash64(p))
+    rows = rows.select(*_KEYS, "spans", hashes.alias("__hashes"), _starts().alias("__starts"), _bytes().alias("__bytes"))
     rows = _once(rows, "__found", found).select(*_KEYS, "__hashes", F.explode("__found").alias("c"))
     at, end = F.col("c.at"), F.col("c.end")
     before, after = F.greatest(at - BESIDE, F.lit(0)), F.least(end + BESIDE, F.size("__hashes"))
