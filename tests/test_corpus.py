@@ -1,3 +1,7 @@
+from itertools import permutations
+
+import pytest
+
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -139,3 +143,22 @@ def test_encoding_deals_out_no_words(spark, monkeypatch):
     monkeypatch.undo()
     plan = C.encode(sentences.where("id > 1"), ["id"], vocab)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("head", [9, 2])
+def test_pairs_are_added_up_before_they_are_rows(spark, monkeypatch, head):
+    monkeypatch.setattr(C, "HEAD_WORDS", head)
+    monkeypatch.setattr(C, "_MET_ROWS", 2)
+    words = ["a", "b", "é", "d"]
+    vocab = spark.createDataFrame([(w, i + 1, 9 - i) for i, w in enumerate(words)], "word string, id long, freq long")
+    sentences = [["a", "b", "zz", "a", "a", None, "é"], ["d"], [], ["é", "d", "d", "zz", "a"], ["a", "b", "zz", "a", "a", None, "é"]]
+    want = Counter()
+    for tokens in sentences:
+        for i, j in permutations(range(len(tokens)), 2):
+            if abs(i - j) <= 2 and tokens[i] in words and tokens[j] in words:
+                want[words.index(tokens[i]) + 1, words.index(tokens[j]) + 1] += 1
+    pairs = C.pair_counts(spark.createDataFrame([(s,) for s in sentences], "tokens array<string>"), 2, vocab)
+    assert {(r["center"], r["context"]): r["n"] for r in pairs.collect()} == want
+    if head > len(words):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "HashJoin" not in plan and "Generate explode" not in plan
