@@ -1,8 +1,5 @@
-from itertools import permutations
-
-import pytest
-
 from collections import Counter
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -145,9 +142,7 @@ def test_encoding_deals_out_no_words(spark, monkeypatch):
     assert "Exchange" not in plan and "Generate" not in plan
 
 
-@pytest.mark.parametrize("head", [9, 2])
-def test_pairs_are_added_up_before_they_are_rows(spark, monkeypatch, head):
-    monkeypatch.setattr(C, "HEAD_WORDS", head)
+def test_pairs_are_added_up_before_they_are_rows(spark, monkeypatch):
     monkeypatch.setattr(C, "_MET_ROWS", 2)
     words = ["a", "b", "é", "d"]
     vocab = spark.createDataFrame([(w, i + 1, 9 - i) for i, w in enumerate(words)], "word string, id long, freq long")
@@ -159,6 +154,5 @@ def test_pairs_are_added_up_before_they_are_rows(spark, monkeypatch, head):
                 want[words.index(tokens[i]) + 1, words.index(tokens[j]) + 1] += 1
     pairs = C.pair_counts(spark.createDataFrame([(s,) for s in sentences], "tokens array<string>"), 2, vocab)
     assert {(r["center"], r["context"]): r["n"] for r in pairs.collect()} == want
-    if head > len(words):
-        plan = pairs._jdf.queryExecution().executedPlan().toString()
-        assert "MapInArrow" in plan and "HashJoin" not in plan and "Generate explode" not in plan
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashJoin" not in plan and "Generate explode" not in plan
